@@ -71,6 +71,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     found = stored(slim.withColumn("id", F.col("id").cast("long")).mapInArrow(suspects, "id long, key binary"), "line_suspects")
     often = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= least_docs).drop("n")
+    # As a table, so that the join's sides are plain exchanges and a line of many documents can be split.
+    often = stored(often, "often_lines")
     return found.join(often, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
