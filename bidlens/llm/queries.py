@@ -39,6 +39,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_documents(spark, sf_dir).select("doc_id", "text"), *tokenizer_files(), keep_ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, found_pii, span_text
+
+    found = found_pii(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    base = F.filter("findings", lambda s: s["kind"] < 4)
+    count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{KINDS[k].name}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged_documents
+
+    out = judged_documents(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import sharded_documents
 
@@ -50,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_pii": op5_pii,
+    "op8_quality_rules": op8_quality_rules,
     "op10_kd_sharding": op10_kd_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}

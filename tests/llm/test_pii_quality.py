@@ -1,0 +1,118 @@
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from bidlens.llm.pii import KINDS, found_pii, redacted, span_text
+from bidlens.llm.quality import base_failed, judged_documents, with_stats
+from bidlens.llm.queries import QUERIES
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def brute_base(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+TEXTS = [
+    None, "", "a@b.c_x@d.e", "x@y@z.w", "a@b.c@d.e.f", "me.too+1@sub.host-x.org.", "é@b.co", "@a.b", "a@b", "a@-.-",
+    "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.02.3.255", "1..2.3.4", "12.1.2.3.4", "999.1.2.3.4",
+    "4467920212765298", "4467 9202 1276 5298", "4467-9202--1276-5298", "12 4467920212765298", "4467920212765298 1", "44679202127652981234567", "0 0 0 0 0 0 0 0 0 0 0 0 0 0",
+    "+1 (523) 555-1055", "+1 (523) 555-1055 +49 30 1234567-", "+1+2+3 4", "+12345678901234567890", "+1 5 ", "call +1 (523) 555-1055.",
+    "IBAN DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013001", "GB82WEST12345698765432", "my ssn 123-45-6789", "123-45-6789", "ssn 000-45-6789",
+    "𝄞 a@b.cd 𝄞𝄞 1.2.3.4", "a" * 120_000, "1" * 120_000, "1 " * 60_000, "+" + "1" * 50_000, "a.b@c.d " * 300, "1.2.3.4," * 300,
+]
+
+
+def test_base_spans_like_brute_force(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").withColumn("findings", F.lit("x")).withColumn("m", F.lit(1))
+    for r in found_pii(df).select("text", span_text(F.filter("findings", lambda s: s["kind"] < 4)).alias("s")).collect():
+        assert [x for x in r.s.split(",") if x] == brute_base(r.text), (r.text or "")[:80]
+    assert found_pii(df.limit(0)).count() == 0
+
+
+def test_documents(spark):
+    rows = {r.doc_id: r for r in QUERIES["op5_pii"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        own, r = brute_base(d.text), rows[d.doc_id]
+        assert r.base_sha256 == brute.sha(",".join(own))
+        assert [r[f"n_{k}"] for k in BASE] == [sum(x.startswith(k) for x in own) for k in BASE]
+        assert set(own) <= set(r.spans.split(",")) | {""}
+    assert sum(r.n_email for r in rows.values()) and sum(r.n_card for r in rows.values())
+
+
+def test_added_spans_scores_and_redaction(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS[29:36] + ["mail me: a@b.cd 1.2.3.4"]], "text string")
+    got = {r.text: r for r in redacted(df).collect()}
+    kinds = {t: [KINDS[s.kind].name for s in r.findings] for t, r in got.items()}
+    assert kinds["IBAN DE89 3704 0044 0532 0130 00 ok"] == ["iban"] and kinds["DE89370400440532013001"] == []
+    assert kinds["GB82WEST12345698765432"] == ["iban"] and kinds["my ssn 123-45-6789"] == ["ssn"] and kinds["123-45-6789"] == [] == kinds["ssn 000-45-6789"]
+    r = got["mail me: a@b.cd 1.2.3.4"]
+    assert r.redacted_text == "mail me: <email> <ip>" and r.findings[0].score > 0.9 > r.findings[1].score
+
+
+def brute_stats(text):
+    words = brute.WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if brute.WORD.search(x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 8)}
+    return [len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)]
+
+
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def test_stats(spark):
+    texts = [None, "", " \n\t", "a b c d e f g h " * 3, "a " * 40, "x\nx \nx\n\n \n", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 0 2 3 4 5 6 7 8 9", "é# <𝄞>", "q w e r t y u i o p " * 2000, "a\x0bb\x0cc\rd e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("_m", F.lit(0)).withColumn("n_words", F.lit("x"))
+    for r in with_stats(df).collect():
+        assert [r[c] for c in STATS] == brute_stats(r.text), r.text
+    assert with_stats(df.limit(0)).count() == 0
+
+
+def test_quality_of_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in QUERIES["op8_quality_rules"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        r = rows[d.doc_id]
+        own = brute_stats(d.text)
+        assert [r[c] for c in STATS] == own
+        assert r.base_failed == (own[0] < 20 or 100 * own[4] > 30 * own[0]) and not (r.base_failed and r.kept)
+    labels = [(rows[x.doc_id].kept, x.quality) for x in spark.read.parquet(f"{sf}/labels.parquet").collect() if x.doc_id in rows]
+    good = [k for k, q in labels if q]
+    bad = [k for k, q in labels if not q]
+    print("kept of good", sum(good) / len(good), "of bad", sum(bad) / len(bad), {r.rule for r in rows.values()})
+    assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) < 0.2
+
+
+def test_quality_edges(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (None, "a b"), (2, "word " * 5 + " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string").withColumn("bad", F.lit(1))
+    labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (1, 0)], "doc_id long, quality int").withColumn("rule", F.lit("r"))
+    got = judged_documents(df, labels).collect()
+    assert sorted(r.kept for r in got) == [False, False, False, True]
+    assert judged_documents(df, labels.limit(0)).count() == 4 and judged_documents(df.limit(0), labels).count() == 0
