@@ -49,6 +49,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fitted, held_out, with_language
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = fitted(docs.where(~held_out()))
+    return with_language(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged_documents
 
@@ -56,6 +64,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminations
+
+    return contaminations(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import sharded_documents
 
@@ -68,7 +82,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,
+    "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_kd_sharding": op10_kd_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingled(table: str, key: str, k: int) -> str:
+    """key and the list of its distinct k-word shingles, of texts with words."""
+    return f"""
+SELECT {key}, list_distinct(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS s
+FROM (SELECT {key}, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH d AS ({_shingled("documents", "doc_id", 5)}), b AS ({_shingled("benchmark", "item_id", 5)}),
+ds AS (SELECT doc_id, unnest(s) AS g FROM d), bs AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b)
+SELECT doc_id, item_id, count(*) / n::double AS containment, n::bigint AS n_item_shingles
+FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, n HAVING 10 * count(*) >= 8 * n""",
+}
