@@ -33,6 +33,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import scratch_path
+    from .warc import read_warc, write_warc
+
+    path = scratch_path(spark, "archives")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+    return read_warc(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed_documents
 
@@ -78,6 +87,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
@@ -98,6 +108,14 @@ FROM (SELECT {key}, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, octet_length(b)::bigint AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31)::bigint, 1)), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> f THEN f END AS refers_to, 'ok' AS status
+FROM q""",
     "op9_decontamination": f"""
 WITH d AS ({_shingled("documents", "doc_id", 5)}), b AS ({_shingled("benchmark", "item_id", 5)}),
 ds AS (SELECT doc_id, unnest(s) AS g FROM d), bs AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b)
