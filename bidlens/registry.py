@@ -20,3 +20,13 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in ("notices", "pricing", "documents", "retrieval", "state"):
+        import_module(f"bidlens.queries.{name}")
+
+
+_load()
