@@ -89,7 +89,7 @@ def requirement_rank(category: Column) -> Column:
 
 def requirement_sentences(c: Column, words: str = V.REQUIREMENT_WORDS) -> Column:
     """White-space-collapsed runs that end in a full stop, cross neither stop nor line, and hold one of `words`."""
-    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?i)[^.\n]*\b(?:{words})\b[^.\n]*\."), 0), collapsed)
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?iU)[^.\n]*\b(?:{words})\b[^.\n]*\."), 0), collapsed)
 
 
 #: Entities that pages use; others stay as they are.

@@ -142,7 +142,7 @@ def document_summaries(spark, d):
 
 
 _REQ = rf"""
-WITH s AS (SELECT doc_id, pos, trim(regexp_replace(m, '\s+', ' ', 'g')) AS requirement FROM (SELECT doc_id, unnest(x) AS m, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '(?i)[^.\n]*\b(?:{VERBS})\b[^.\n]*\.') AS x FROM documents))),
+WITH s AS (SELECT doc_id, pos, trim(regexp_replace(m, '\s+', ' ', 'g')) AS requirement FROM (SELECT doc_id, unnest(x) AS m, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.\n]*\.'), lambda m: regexp_matches(regexp_replace(m, '[^\x00-\x7F]', 'x', 'g'), '(?i)\b(?:{VERBS})\b')) AS x FROM documents))),
 k AS (SELECT *, row_number() OVER (PARTITION BY lower(requirement) ORDER BY doc_id, pos) AS r FROM s WHERE length(requirement) BETWEEN 25 AND 400),
 c AS (SELECT doc_id AS id, pos::int AS pos, requirement, CASE {" ".join(f"WHEN {_any('lower(requirement)', w)} THEN '{n}'" for n, w in V.REQUIREMENT_RULES)} ELSE 'Other' END AS category FROM k WHERE r = 1)"""
 
