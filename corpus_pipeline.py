@@ -12,6 +12,8 @@ from bidlens.llm.line_dedup import deduped_lines
 from bidlens.llm.packing import packed_documents
 from bidlens.llm.queries import tokenizer_files
 from bidlens.llm.scratch import stored
+from bidlens.session import importable
+from bidlens.sources.tables import table
 
 #: A prediction below this posterior rejects the document.
 LEAST_SCORE = 0.5
@@ -19,12 +21,14 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language learned from the labelled ones; those without a letter or of no clear language go."""
+    importable(spark)
     known = with_language(docs, fitted(docs))
     return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many other documents hold."""
+    importable(spark)
     kept = deduped_lines(docs)
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
 
@@ -32,6 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group at Jaccard similarity 0.8 on five-word shingles. Rows alike in id
     and text stay once; rows without an id stay unless a document with an id is near."""
+    importable(spark)
     classes = stored(document_classes(docs, k=5, numerator=80), "classes")
     gone = classes.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
@@ -42,11 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences of 1024 tokens."""
+    importable(spark)
     return packed_documents(docs.select("doc_id", "text"), *tokenizer_files(), keep_ids=False)
 
 
@@ -57,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
