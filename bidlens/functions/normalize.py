@@ -97,7 +97,7 @@ def scrubbed(params: Column) -> Column:
 def cache_key(endpoint: Column, params: Column) -> Column:
     """SHA-256 of endpoint and scrubbed parameters as compact JSON with sorted keys (ASCII values)."""
     pairs = F.array_sort(F.map_entries(scrubbed(params)))
-    quote = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))
+    quote = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     body = F.array_join(F.transform(pairs, lambda e: F.concat(quote(e["key"]), F.lit(":"), quote(e["value"]))), ",")
     return F.sha2(F.concat(F.lit('{"endpoint":'), quote(endpoint), F.lit(',"params":{'), body, F.lit("}}")), 256)
 

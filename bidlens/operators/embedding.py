@@ -80,5 +80,5 @@ def relevance(best: DataFrame, n: int = 3) -> DataFrame:
 def dense_cosine(a: Column, b: Column) -> Column:
     """The cosine of two arrays; -1 where it is not a number."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    c = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    c = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     return F.when(F.isnan(c) | c.isNull(), -1.0).otherwise(c)
