@@ -88,8 +88,12 @@ def requirement_rank(category: Column) -> Column:
 
 
 def requirement_sentences(c: Column, words: str = V.REQUIREMENT_WORDS) -> Column:
-    """White-space-collapsed runs that end in a full stop, cross neither stop nor line, and hold one of `words`."""
-    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?iU)[^.\n]*\b(?:{words})\b[^.\n]*\."), 0), collapsed)
+    """White-space-collapsed runs that end in a full stop, cross neither stop nor line, and hold one of `words`.
+
+    Runs are cut first, each from where it begins, and then searched: both in linear time, whatever the text.
+    """
+    runs = F.regexp_extract_all(c, F.lit(r"(?:^|(?<=[.\n]))[^.\n]*+\."), 0)
+    return F.transform(F.filter(runs, lambda x: x.rlike(rf"(?iU)\b(?:{words})\b")), collapsed)
 
 
 #: Entities that pages use; others stay as they are.
