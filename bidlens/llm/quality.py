@@ -49,10 +49,18 @@ FEATURES = {
 def with_stats(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclaims and n_digits (long)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    df = docs.withColumns({"_words": F.filter(F.split(text, BLANKS), lambda w: w != ""), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
-    words = F.col("_words")
-    df = df.withColumn("_windows", F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))))
+    df = docs.withColumns({
+        "_words": F.array_remove(F.split(text, BLANKS), ""),
+        "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+        "_marks": F.regexp_replace(text, "[^A-Z0-9!?#*$%&|<>]+", ""),
+    })
+    words, marks = F.col("_words"), F.col("_marks")
+    count = lambda chars: (F.length(marks) - F.length(F.translate(marks, chars, ""))).cast("long")
+    df = df.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    pairs = lambda c, k: F.zip_with(c, F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    # Hashes of 2, 4 and 8 words; the last entries of each meet nulls and are cut off.
+    df = df.withColumn("_two", pairs(F.col("_hashes"), 1)).withColumn("_four", pairs(F.col("_two"), 2)).withColumn("_eight", pairs(F.col("_four"), 4))
+    df = df.withColumn("_windows", F.slice("_eight", F.lit(1), F.greatest(F.size("_eight") - (WINDOW - 1), F.lit(0))))
     # Windows by hash and place: those with a neighbour of the same hash are found twice or more.
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
     df = df.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -62,15 +70,15 @@ def with_stats(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(reach, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"))
     df = df.withColumns({
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).cast("long"),
-        "n_symbols": without("#*$%&|<>").cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": count("#*$%&|<>"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_capitals": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
-        "n_exclaims": without("!?").cast("long"),
-        "n_digits": without("0123456789").cast("long"),
+        "n_capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_exclaims": count("!?"),
+        "n_digits": count("0123456789"),
     })
-    return df.drop("_words", "_lines", "_windows", "_sorted", "_at")
+    return df.drop("_words", "_lines", "_marks", "_hashes", "_two", "_four", "_eight", "_windows", "_sorted", "_at")
 
 
 def base_failed() -> Column:
@@ -82,11 +90,17 @@ class Condition:
     feature: str
     above: bool
     cut: float
+    step: int  # the cut's place among its feature's cuts
 
     def holds(self) -> Column:
         f = F.coalesce(F.col(self.feature), F.lit(0.0))
         return f > self.cut if self.above else f <= self.cut
 
+    def in_bins(self) -> Column:
+        """The same, of rows that have, for each feature, the number of its cuts below the value."""
+        b = F.get(F.col("bins"), list(FEATURES).index(self.feature))
+        return b > self.step if self.above else b <= self.step
+
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut:.6g}"
 
@@ -94,49 +108,69 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _all(rule: Rule) -> Column:
-    return reduce(and_, [c.holds() for c in rule], F.lit(True))
+def _all(rule: Rule, bins: bool = False) -> Column:
+    return reduce(and_, [c.in_bins() if bins else c.holds() for c in rule], F.lit(True))
 
 
 def learned(rows: DataFrame, label: str = "bad") -> list[Rule]:
     """The decision list of rows with FEATURES as columns, a boolean label (true: bad) and a boolean `pruning`.
-    `rows` is read once a step: pass a written table."""
+
+    Rows are kept as bins, the number of cuts below each feature's value. A step counts bad and good rows by
+    feature and bin, features x (CUTS + 1) numbers, whose running sums are the counts for every threshold.
+    """
     names = list(FEATURES)
-    cuts = rows.agg(*[F.percentile_approx(F.coalesce(F.col(f), F.lit(0.0)), [i / CUTS for i in range(1, CUTS)], 10_000).alias(f) for f in names]).first()
-    literals = [Condition(f, above, float(c)) for f in names for c in sorted(set(cuts[f] or [])) for above in (True, False)]
-    bad = F.col(label)
-    total = rows.count()
+    value = lambda f: F.coalesce(F.col(f), F.lit(0.0))
+    found = rows.agg(*[F.percentile_approx(value(f), [i / CUTS for i in range(1, CUTS)], 10_000).alias(f) for f in names]).first()
+    cuts = [sorted({float(c) for c in found[f] or []}) for f in names]
+    below = [_below(value(f), own) for f, own in zip(names, cuts)]
+    binned = stored(rows.select(F.col(label).alias("bad"), "pruning", F.array(*below).alias("bins")), "quality_bins")
+    total = binned.count()
     least = max(LEAST_ROWS, LEAST_SHARE * total)
     rules: list[Rule] = []
-
-    def counted(df: DataFrame, conditions: list[Column]) -> list[tuple[int, int]]:
-        aggs = [F.count_if(c & x) for c in conditions for x in (bad, ~bad)]
-        got = df.agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)]).first()
-        return list(zip(got[::2], got[1::2]))
-
-    while len(rules) < MOST_RULES and literals:
-        left = rows.where(~reduce(lambda a, r: a | _all(r), rules, F.lit(False)))
+    sums = (F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
+
+    def count(df: DataFrame) -> tuple[int, int]:
+        return tuple(df.agg(*sums).first())
+
+    def thresholds(df: DataFrame) -> list[tuple[Condition, tuple[int, int]]]:
+        got = {(r.f, r.b): (r.p, r.n) for r in df.select("bad", F.posexplode("bins").alias("f", "b")).groupBy("f", "b").agg(*sums).collect()}
+        out = []
+        for i, own in enumerate(cuts):
+            every = [got.get((i, b), (0, 0)) for b in range(len(own) + 1)]
+            p, n = (sum(x[k] for x in every) for k in (0, 1))
+            a = b = 0
+            for step, cut in enumerate(own):
+                a, b = a + every[step][0], b + every[step][1]
+                out += [(Condition(names[i], False, cut, step), (a, b)), (Condition(names[i], True, cut, step), (p - a, n - b))]
+        return out
+
+    while len(rules) < MOST_RULES:
+        left = binned.where(~reduce(lambda a, r: a | _all(r, True), rules, F.lit(False)))
         growing, pruning = left.where(~F.col("pruning")), left.where("pruning")
-        (p, n), *_ = counted(growing, [F.lit(True)])
+        p, n = count(growing)
         rule: Rule = ()
         while p and n and len(rule) < MOST_CONDITIONS:
-            got = counted(growing, [_all((*rule, c)) for c in literals])
-            gain = lambda pn: pn[0] * (math.log2(pn[0] / sum(pn)) - math.log2(p / (p + n))) if pn[0] else -1.0
-            best = max(range(len(got)), key=lambda i: gain(got[i]))
-            if gain(got[best]) <= 0:
+            gain = lambda pn: pn[0] * (math.log2(pn[0] / sum(pn)) - math.log2(p / (p + n))) if pn[0] else -1.0  # noqa: E731, B023
+            best = max(thresholds(growing.where(_all(rule, True))), key=lambda x: gain(x[1]), default=None)
+            if best is None or gain(best[1]) <= 0:
                 break
-            rule, (p, n) = (*rule, literals[best]), got[best]
+            rule, (p, n) = (*rule, best[0]), best[1]
         if not rule:
             break
-        worth = [((a - b) / (a + b) if a + b else -1.0) for a, b in counted(pruning, [_all(rule[: k + 1]) for k in range(len(rule))])]
+        worth = [((a - b) / (a + b) if a + b else -1.0) for a, b in (count(pruning.where(_all(rule[: k + 1], True))) for k in range(len(rule)))]
         rule = rule[: max(range(len(rule)), key=lambda k: (worth[k], -k)) + 1]
-        (p, n), *_ = counted(left, [_all(rule)])
+        p, n = count(left.where(_all(rule, True)))
         if p < least or p < LEAST_PRECISION * (p + n):
             break
         rules.append(rule)
     return rules
 
 
+def _below(x: Column, cuts: list[float]) -> Column:
+    """How many of the cuts are below x."""
+    return reduce(lambda a, b: a + b, [F.when(x > c, 1).otherwise(0) for c in cuts], F.lit(0))
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The name of the first rule that holds, or null."""
     out = F.lit(None).cast("string")
