@@ -1,15 +1,17 @@
 """Exact Jaccard self-join of documents by word shingles, over a token-group matrix.
 
 1. Texts with equal shingle sets are one document from here on, the one of the smallest id.
-2. Prefix filter: two sets that are similar enough share one of each other's first tokens in any fixed order (all but the
-   first `prefix` are too few). The order puts tokens that tasks see often last, then goes by hash. Two Bloom filters
-   leave the documents with a prefix token that another document may hold; the others are linked with nothing.
+2. Prefix filter: of two sets that are similar enough, the first l common tokens in any fixed order lie among the first
+   n - needed + l tokens of each, so that they share l tokens of these prefixes; l is a share of n. The order puts tokens
+   that tasks see often last, then goes by hash. Two Bloom filters tell which prefix tokens another document may hold;
+   documents with fewer than l of these are linked with nothing, and no whole set of theirs is shuffled.
 3. Similar documents are partitioned into groups: each prefix token offers its smallest document as a hub, documents
-   are verified against the hubs offered to them, and links to hubs make the first components. A component is cut into
-   groups of at most GROUP documents around its hubs.
-4. The matrix stores each group's token union. A document whose prefix token occurs in a group of another component is a
-   query on it; its overlap with the union bounds its overlap with every member, and only groups that reach what the
-   threshold asks for are opened. Their members are verified one by one, exactly, on whole sets.
+   are verified against the hubs offered to them, and links to hubs make the first components; then hubs of other
+   components are offered, for some rounds.
+4. Documents with a prefix token in several components are partitioned into groups by MinHash; the matrix stores each
+   group's token union, of its members' prefixes. Groups that share a token meet; every member of one is a query on the
+   other: its overlap with the union bounds its overlap with each member, and only if it reaches l the group is opened
+   to it, its members of other components compared on prefixes, then exactly on whole sets.
 5. All links together give the components.
 
 Tokens that lie in one component only offer nothing in step 4, so that groups of copies cost what their documents do
@@ -33,12 +35,15 @@ from pyspark.sql import functions as F
 from . import seen
 from .components import components
 from .scratch import stored
-from .words import MULT_A, MULT_B, mixed, shingles, slices, texts
+from .words import MULT_A, MULT_B, mixed, rolling, slices, texts, word_hashes
 
 #: Tokens that a task sees in so many of its documents go last in the order.
 OFTEN = 8
-#: Frequent tokens kept at most are those of the largest counts whose sets fit this many.
-GROUP = 32
+#: Documents and tokens of a group at most, on average.
+GROUP = 128
+GROUP_TOKENS = 100_000
+#: Further rounds of offers to hubs of other components, before groups are searched.
+HUB_ROUNDS = 2
 
 
 class Order:
@@ -47,36 +52,89 @@ class Order:
     def __init__(self, tokens: np.ndarray, levels: np.ndarray):
         at = np.argsort(tokens, kind="stable")
         self.tokens, self.levels = tokens[at], levels[at]
-
-    def ranked(self, own: np.ndarray) -> np.ndarray:
-        """own, sorted by hash, in this order."""
-        if not len(self.tokens) or not len(own):
-            return own
-        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
-        level = np.where(self.tokens[at] == own, self.levels[at], 0)
-        return own[np.argsort(level, kind="stable")]
-
-
-def _needed(n: int, numerator: int, denominator: int) -> int:
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self.tokens >> np.uint64(44)] = True
+
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.int64)
+        may = np.flatnonzero(self.table[tokens >> np.uint64(44)])
+        if len(may):
+            at = np.minimum(np.searchsorted(self.tokens, tokens[may]), len(self.tokens) - 1)
+            out[may] = np.where(self.tokens[at] == tokens[may], self.levels[at], 0)
+        return out
+
+
+class Sets:
+    """The shingle sets of some texts: tokens sorted within each set, with owner and first place of each set."""
+
+    def __init__(self, texts_: list[bytes], k: int):
+        words = [t.lower().split() for t in texts_]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        h = word_hashes([w for ws in words for w in ws])
+        owner = np.repeat(np.arange(len(words)), counts)
+        runs = rolling(h, k)
+        own = owner[: len(runs)] == owner[k - 1 :] if len(runs) else np.zeros(0, bool)
+        tokens, owner_ = runs[own], owner[: len(runs)][own]
+        short = np.flatnonzero((counts > 0) & (counts < k))
+        if len(short):
+            starts = np.cumsum(counts) - counts
+            tokens = np.concatenate([tokens, *(rolling(h[starts[i] : starts[i] + counts[i]], int(counts[i])) for i in short)])
+            owner_ = np.concatenate([owner_, short])
+            at = np.argsort(owner_, kind="stable")
+            tokens, owner_ = tokens[at], owner_[at]
+        edges = np.searchsorted(owner_, np.arange(len(words) + 1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            tokens[a:b].sort()
+        keep = np.ones(len(tokens), bool)
+        keep[1:] = (tokens[1:] != tokens[:-1]) | (owner_[1:] != owner_[:-1])
+        self.tokens, self.owner = tokens[keep], owner_[keep]
+        self.n = np.bincount(self.owner, minlength=len(words)).astype(np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+
+    def names(self) -> list[np.ndarray]:
+        """Two 64-bit hashes of each set."""
+        out = []
+        for x in (mixed(self.tokens * MULT_A), mixed(self.tokens ^ MULT_B)):
+            sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]
+            out.append((sums[self.starts + self.n] - sums[self.starts]).view(np.int64))
+        return out
+
+    def prefixes(self, order: Order, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix tokens of all sets, in order, and their owners."""
+        level = order.level(self.tokens)
+        ranked = self.tokens.copy()
+        for i in np.unique(self.owner[level > 0]).tolist():
+            a, b = self.starts[i], self.starts[i] + self.n[i]
+            ranked[a:b] = ranked[a:b][np.argsort(level[a:b], kind="stable")]
+        length = self.n - needed(self.n, numerator, denominator) + shared_least(self.n)
+        inside = np.arange(len(ranked)) - self.starts[self.owner] < length[self.owner]
+        return ranked[inside], self.owner[inside]
+
+
+def needed(n, numerator: int, denominator: int):
     """The least overlap of a set of n tokens with one similar enough to it."""
     return -(-n * numerator // denominator)
 
 
-def _prefix(n: int, numerator: int, denominator: int) -> int:
-    return n - _needed(n, numerator, denominator) + 1
+#: l as a share of n: a sixth.
+PREFIX_PART = 6
+
+
+def shared_least(n):
+    """l of a set of n tokens."""
+    return np.maximum(1, n // PREFIX_PART)
 
 
 def frequent_tokens(slim: DataFrame, k: int) -> Broadcast:
     """The order, broadcast. Every task counts its own tokens over all its documents and tells those it sees OFTEN times;
     a token in more than a fixed share of documents is told by some task, and those are few, however many documents there are:
-    at most (mean set size) x (documents a task) / OFTEN, of which the driver keeps the most frequent million."""
+    at most (mean set size) x (documents a task) / OFTEN, of which the driver keeps the most frequent million. The order only
+    decides how much there is to verify, never the result."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [shingles(t.lower().split(), k) for b in batches for p in slices(b, "text") for t in texts(p)]
-        if not sets:
-            return
-        every = np.concatenate(sets)
-        sets.clear()
+        found = [x.tokens for b in batches for _, x in _sets(b, k)]
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        found.clear()
         every.sort()
         new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, int)
         n = np.diff(np.r_[new, len(every)])
@@ -88,16 +146,13 @@ def frequent_tokens(slim: DataFrame, k: int) -> Broadcast:
     return slim.sparkSession.sparkContext.broadcast(Order(top["token"].to_numpy().astype(np.int64).view(np.uint64), top["level"].to_numpy().astype(np.int64)))
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
     for part in slices(batch, "text"):
-        yield part, [shingles(t.lower().split(), k) for t in texts(part)]
+        yield part, Sets(texts(part), k)
 
 
-def _names(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Two 64-bit hashes of each set."""
-    a = [int(mixed(s * MULT_A).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-    b = [int(mixed(s ^ MULT_B).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-    return a, b
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values.view(np.int64)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -121,12 +176,9 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tokens = []
         for batch in batches:
             for part, sets in _sets(batch, k):
-                n = len(sets)
-                tokens += [order.value.ranked(s)[: _prefix(len(s), numerator, denominator)] for s in sets if len(s)]
-                a, b = _names(sets)
-                rows = [part.column("id"), [len(s) for s in sets], a, b, [None] * n, [None] * n, [None] * n]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, types)], names=names)
-        for notes in seen.noted(iter([np.concatenate(tokens)] if tokens else []), log2_bits):
+                tokens.append(sets.prefixes(order.value, numerator, denominator)[0])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets.n), *map(pa.array, sets.names()), *(pa.nulls(len(part), t) for t in types[4:])], names=names)
+        for notes in seen.noted(iter(tokens), log2_bits):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(notes), t) for t in types[:4]] + notes.columns, names=names)
 
     first = stored(slim.mapInArrow(noted, "id long, n long, a long, b long, " + seen.NOTES), "jaccard_first")
@@ -136,65 +188,91 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, k):
-                rows = []
-                a, b = _names(sets)
-                for i, (doc, s) in enumerate(zip(part.column("id").to_pylist(), sets)):
-                    if not len(s):
-                        continue
-                    ranked = order.value.ranked(s)
-                    p = ranked[: _prefix(len(s), numerator, denominator)]
-                    p = p[seen.suspected(p, bits.value, log2_bits)]
-                    if len(p):
-                        rows.append((doc, len(s), a[i], b[i], p.view(np.int64), s.view(np.int64)))
-                if rows:
-                    c = list(zip(*rows))
-                    arrays = [pa.array(c[j], pa.int64()) for j in range(4)] + [pa.array(c[j], pa.list_(pa.int64())) for j in (4, 5)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "a", "b", "prefix", "tokens"])
-
-    found = slim.mapInArrow(candidates, "id long, n long, a long, b long, prefix array<long>, tokens array<long>")
-    one = found.groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix", "tokens")).alias("r"))
-    sets = stored(one.select("r.id", "n", "r.prefix", "r.tokens").where("id IS NOT NULL"), "jaccard_sets")
-
-    slots = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    often = slots.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    often = stored(often, "jaccard_hubs")
-    slots = stored(slots.join(often, "token"), "jaccard_slots")
+                tokens, owner = sets.prefixes(order.value, numerator, denominator)
+                may = seen.suspected(tokens, bits.value, log2_bits)
+                tokens, owner = tokens[may], owner[may]
+                least = shared_least(needed(sets.n, numerator, denominator))  # of any partner's l and its own
+                size = np.bincount(owner, minlength=len(part))
+                good = (sets.n > 0) & (size >= least)
+                at = np.flatnonzero(good)
+                if len(at):
+                    a, b = sets.names()
+                    inside, whole = good[owner], good[sets.owner]
+                    arrays = [part.column("id").take(pa.array(at)), pa.array(sets.n[at]), pa.array(a[at]), pa.array(b[at]), pa.array(shared_least(sets.n[at])), pa.array(least[at])]
+                    yield pa.RecordBatch.from_arrays([*arrays, _lists(tokens[inside], size[at]), _lists(sets.tokens[whole], sets.n[at])], names=["id", "n", "a", "b", "l", "least", "prefix", "tokens"])
+
+    found = slim.mapInArrow(candidates, "id long, n long, a long, b long, l long, least long, prefix array<long>, tokens array<long>")
+    one = found.groupBy("a", "b", "n").agg(F.min(F.struct("id", "l", "least", "prefix", "tokens")).alias("r"))
+    sets = stored(one.select("r.id", "n", "r.l", "r.least", "r.prefix", "r.tokens").where("id IS NOT NULL"), "jaccard_sets")
+
+    # Exact counts of the prefix tokens, over distinct sets: those of one set go, and so do sets left with fewer than
+    # they must share. Of q tokens of which `least` must be shared, the first q - least + 1 hold one that is, in any
+    # order; here the rarest first.
+    every = sets.select("id", "least", F.explode("prefix").alias("token"))
+    counts = stored(every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "jaccard_counts")
+    own = every.join(counts, "token").groupBy("id", "least").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("q")).where(F.size("q") >= F.col("least"))
+    slots = stored(own.select("id", F.explode(F.slice("q", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int"))).alias("s")).select("id", "s.token"), "jaccard_slots")
+    hubs = stored(slots.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m"), "jaccard_hubs")
+    slots = stored(slots.join(hubs, "token"), "jaccard_offers")
     lengths = lambda a, b: (denominator * F.least(a, b) >= numerator * F.greatest(a, b))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are linked."""
+        """The pairs (x, y) that are linked: by length and prefixes, then by whole sets."""
+        px = sets.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("l").alias("x_l"), F.col("prefix").alias("x_p"))
+        py = sets.select(F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("l").alias("y_l"), F.col("prefix").alias("y_p"))
+        near = pairs.join(px, "x").join(py, "y").where(lengths(F.col("x_n"), F.col("y_n")) & (overlap(F.col("x_p"), F.col("y_p")) >= F.least("x_l", "y_l")))
+        pairs = stored(near.select("x", "y"), "jaccard_near")
         left = sets.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("tokens").alias("x_t"))
         right = sets.select(F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("tokens").alias("y_t"))
-        both = pairs.join(left, "x").join(right, "y").where(lengths(F.col("x_n"), F.col("y_n")))
+        both = pairs.join(left, "x").join(right, "y")
         return both.where(linked(F.col("x_n"), F.col("y_n"), overlap(F.col("x_t"), F.col("y_t")), numerator, denominator)).select("x", "y")
 
     offered = slots.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
     links = stored(verified(offered), "jaccard_hub_links")
-    part = components(links, "x", "y")
-    of = sets.select("id", "n").join(part.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    of = stored(of, "jaccard_parts")
-
-    # Step 4: only tokens that lie in two components or more.
-    placed = slots.select("id", "n", "token").join(of.select("id", "component"), "id")
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    across = stored(placed.join(stored(split, "jaccard_split_tokens"), "token"), "jaccard_across")
-    # Pairs of documents across components are met through groups: a member belongs to the group of its component and a bucket.
-    members = across.select("component", "id").distinct()
-    sized = members.groupBy("component").agg(F.count("*").alias("m"))
-    grouped = stored(members.join(sized, "component").select("component", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / GROUP)).alias("bucket")), "jaccard_groups")
-    whole = grouped.join(sets.select("id", "n", "tokens"), "id")
-    matrix = stored(whole.groupBy("component", "bucket").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min("n").alias("least"), F.max("n").alias("most")), "jaccard_matrix")
-    slot = across.join(grouped.select("id", "bucket"), "id")
-    groups = slot.select("token", F.col("component").alias("g_component"), F.col("bucket").alias("g_bucket")).distinct()
-    queries = across.select("token", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    # One direction is enough: from the component of the larger id to that of the smaller.
-    met = queries.join(groups, "token").where("x_component > g_component").select("x", "g_component", "g_bucket").distinct()
-    bound = met.join(matrix.withColumnsRenamed({"component": "g_component", "bucket": "g_bucket"}), ["g_component", "g_bucket"])
-    bound = bound.join(sets.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("tokens").alias("x_t")), "x")
-    near = (denominator * F.col("x_n") >= numerator * F.col("least")) & (denominator * F.col("most") >= numerator * F.col("x_n"))
-    opened = bound.where(near).where(denominator * overlap(F.col("x_t"), F.col("union")) >= numerator * F.col("x_n")).select("x", "g_component", "g_bucket")
-    pairs = opened.join(grouped.withColumnsRenamed({"component": "g_component", "bucket": "g_bucket", "id": "y"}), ["g_component", "g_bucket"]).select("x", "y")
-    more = stored(verified(pairs), "jaccard_group_links")
+
+    def spread(links: DataFrame) -> DataFrame:
+        """Slots with their component, of tokens that lie in two components or more, with one place in each of the outermost two."""
+        part = components(links, "x", "y").withColumnsRenamed({"node": "id"})
+        placed = slots.select("id", "token").join(part, "id", "left").select("id", "token", F.coalesce("component", "id").alias("component"))
+        placed = stored(placed, "jaccard_placed")
+        at = F.struct("component", "id")
+        split = placed.groupBy("token").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.component <> hi.component")
+        return stored(placed.join(stored(split, "jaccard_split_tokens"), "token"), "jaccard_across")
+
+    across = spread(links)
+    for _ in range(HUB_ROUNDS):
+        other = F.explode(F.array("lo", "hi"))
+        offers = across.select("id", "component", other.alias("o")).where("component <> o.component").select(F.col("id").alias("x"), F.col("o.id").alias("y")).distinct()
+        new = stored(verified(offers), "jaccard_hub_links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        across = spread(links)
+
+    # Step 4: groups by MinHash, which similar sets are likely to have in common, and no larger than GROUP and GROUP_TOKENS.
+    members = across.select("id", "component").distinct().join(sets.withColumn("key", F.element_at("tokens", 1)), "id")
+    sized = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("buckets"))
+    member = F.struct("id", "component", "n", "l", "least", "prefix", "tokens")
+    matrix = members.join(sized, "key").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets"))).groupBy("key", "bucket")
+    matrix = matrix.agg(F.collect_list(member).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("union"))
+    matrix = stored(matrix.withColumn("g", F.struct("key", "bucket")).drop("key", "bucket"), "jaccard_matrix")
+    of = matrix.select("g", F.explode("members.id").alias("id"))
+    held = stored(across.select("token", "id").join(of, "id").select("token", "g").distinct().join(matrix.select("g", "lo", "hi"), "g"), "jaccard_group_tokens")
+    other = held.select("token", F.col("g").alias("h"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
+    apart = ~((F.col("lo") == F.col("hi")) & (F.col("h_lo") == F.col("h_hi")) & (F.col("lo") == F.col("h_lo")))
+    met = stored(held.join(other, "token").where((F.col("g") <= F.col("h")) & apart).select("g", "h").distinct(), "jaccard_met")
+
+    def opened(x: Column) -> Column:
+        """The links of a member x of g to members of h; h is opened if its union leaves them possible."""
+        same = F.col("g") == F.col("h")
+        near = lambda y: (x["component"] != y["component"]) & (~same | (x["id"] < y["id"])) & lengths(x["n"], y["n"]) & (overlap(x["prefix"], y["prefix"]) >= F.least(x["l"], y["l"]))
+        exact = lambda y: linked(x["n"], y["n"], overlap(x["tokens"], y["tokens"]), numerator, denominator)
+        found = F.transform(F.filter("h_members", lambda y: near(y) & exact(y)), lambda y: F.struct(x["id"].alias("x"), y["id"].alias("y")))
+        return F.when(overlap(x["prefix"], F.col("h_union")) >= x["least"], found)
+
+    both = met.join(matrix.select("g", "members"), "g").join(matrix.select(F.col("g").alias("h"), F.col("members").alias("h_members"), F.col("union").alias("h_union")), "h")
+    found_links = F.flatten(F.filter(F.transform("members", opened), lambda z: z.isNotNull()))
+    more = stored(both.select(F.explode(found_links).alias("z")).select("z.x", "z.y"), "jaccard_group_links")
     joined = components(links.unionByName(more), "x", "y")
 
     # Back to every document, through its set; rows that share an id are linked by it.

@@ -36,16 +36,16 @@ def brute_classes(rows, k=4, num=85, den=100):
     return sorted((d, len(s), top(d)) for d, s in sets.items())
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_documents(spark, sf):
+def test_documents(spark):
+    sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in QUERIES["op7_jaccard_join"](spark, sf).collect()) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_chains_of_copies(spark, seed):
+@pytest.mark.parametrize("k,num", [(4, 85), (5, 80), (2, 60)])
+def test_chains_of_copies(spark, k, num):
     """Copies of copies, whose ends share too little, and texts at the threshold."""
-    r = random.Random(seed)
+    r = random.Random(num)
     rows, words = [], [f"w{i}" for i in range(300)]
     for c in range(6):
         text = [r.choice(words) for _ in range(r.choice([8, 40, 120]))]
@@ -59,9 +59,8 @@ def test_chains_of_copies(spark, seed):
     r.shuffle(rows)
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("id", F.lit(0)).repartition(3)
-    for k, num in ((4, 85), (5, 80), (2, 60)):
-        got = sorted(tuple(x) for x in document_classes(df, k=k, numerator=num).collect())
-        assert got == brute_classes(rows, k, num)
+    got = sorted(tuple(x) for x in document_classes(df, k=k, numerator=num).collect())
+    assert got == brute_classes(rows, k, num)
 
 
 def test_edges(spark):
