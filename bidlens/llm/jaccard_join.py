@@ -202,8 +202,8 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([*arrays, _lists(tokens[inside], size[at]), _lists(sets.tokens[whole], sets.n[at])], names=["id", "n", "a", "b", "l", "least", "prefix", "tokens"])
 
     found = slim.mapInArrow(candidates, "id long, n long, a long, b long, l long, least long, prefix array<long>, tokens array<long>")
-    one = found.groupBy("a", "b", "n").agg(F.min(F.struct("id", "l", "least", "prefix", "tokens")).alias("r"))
-    sets = stored(one.select("r.id", "n", "r.l", "r.least", "r.prefix", "r.tokens").where("id IS NOT NULL"), "jaccard_sets")
+    one = found.where("id IS NOT NULL").groupBy("a", "b", "n").agg(F.min(F.struct("id", "l", "least", "prefix", "tokens")).alias("r"))
+    sets = stored(one.select("r.id", "n", "r.l", "r.least", "r.prefix", "r.tokens"), "jaccard_sets")
 
     # Exact counts of the prefix tokens, over distinct sets: those of one set go, and so do sets left with fewer than
     # they must share. Of q tokens of which `least` must be shared, the first q - least + 1 hold one that is, in any

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bidlens.llm.components import components
 from bidlens.llm.jaccard_join import document_classes
 from bidlens.llm.queries import QUERIES
+from corpus_pipeline import near_duplicates
 
 from . import brute
 
@@ -71,6 +72,14 @@ def test_edges(spark):
     assert document_classes(df.limit(0)).count() == 0
 
 
+def test_copy_without_id_beside_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    df = spark.createDataFrame([(None, text), (7, text), (9, near)], "doc_id long, text string")
+    assert sorted((tuple(r) for r in document_classes(df).collect()), key=repr) == [(7, 57, 7), (9, 57, 7), (None, 57, 7)]
+    assert [r.doc_id for r in near_duplicates(spark, df, "").collect()] == [7]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(500, 400), (None, 3)]
