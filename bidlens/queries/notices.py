@@ -114,6 +114,15 @@ def contact_primary(spark, d):
     return people.select("c_nationkey", first["c_custkey"].alias("contact"), N.display_name(first["name"], F.lit(None).cast("string")).alias("display"))
 
 
+@query("SELECT c_nationkey, arg_min(c_custkey, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS contact, arg_min(c_name, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS display FROM customer GROUP BY c_nationkey")
+def contact_primary_all(spark, d):
+    """contact_primary over all customers: the least of each nation, without a list of its people."""
+    secondary = F.col("c_mktsegment").eqNullSafe("BUILDING") == F.lit(False)
+    first = F.min_by(F.struct("c_custkey", F.col("c_name").alias("name")), F.struct(secondary.alias("secondary"), "c_custkey"))
+    people = table(spark, d, "customer").groupBy("c_nationkey").agg(first.alias("first"))
+    return people.select("c_nationkey", F.col("first.c_custkey").alias("contact"), N.display_name(F.col("first.name"), F.lit(None).cast("string")).alias("display"))
+
+
 @query(r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ID' || page_id WHEN page_id % 3 = 1 THEN page_id::varchar END AS notice_id, CASE WHEN page_id % 3 = 2 THEN 'no_id_in_link' END AS error FROM pages")
 def reference_parse(spark, d):
     k = F.col("page_id")

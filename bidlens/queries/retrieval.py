@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import embedding as E
+from ..operators import mining
 from ..operators import requirements as R
 from ..plans.recommend import recommended
 from ..registry import query
 from ..sources.tables import library, notices, table
-from .documents import _EMBED
+from .documents import _EMBED, HINTS, STOP
 
 
 def _vectors(name: str, source: str, key: str, d: int = 1024) -> str:
@@ -80,6 +81,12 @@ def requirement_section_map(spark, d):
     return R.mapped(best.select("q", "id", "score"))
 
 
+@query(f"""{_BOTH}, {_nearest('doc_id', 1)} SELECT q, id AS section, score, CASE WHEN score >= {V.ADDRESSED} THEN 'Addressed' WHEN score >= {V.PARTIAL} THEN 'Partial' ELSE 'Not Addressed' END AS status FROM n""")
+def requirement_section_map_all(spark, d):
+    """requirement_section_map over the sections of all sources."""
+    return R.mapped(_search(spark, d, table(spark, d, "documents"), 1).select("q", "id", "score"))
+
+
 @query("SELECT s AS status, (SELECT count(*) FROM labels WHERE (quality = 1 AND s = 'Addressed') OR (quality = 0 AND s = 'Not Addressed'))::bigint AS n FROM (VALUES ('Addressed'), ('Partial'), ('Not Addressed')) t(s)")
 def status_counts_zero_filled(spark, d):
     a, _, n = V.STATUSES
@@ -88,8 +95,10 @@ def status_counts_zero_filled(spark, d):
 
 @query()
 def recommend_ranked(spark, d):
-    """Notices ranked by their likeness to the library. Their words are few, so candidates come from the mined queries."""
-    return recommended(notices(spark, d).where("posted >= '2000-06-01'"), library(spark, d), queries=["0001", "0012"], firm_naics=["BUILDING"], as_of="2000-07-01 00:00:00", top_k=20)
+    """Notices ranked by their likeness to the library. Candidates come from the mined queries and, since the benchmark's
+    titles share no word with its documents, from two words of titles."""
+    mined = mining.chosen_queries(mining.query_candidates(table(spark, d, "documents"), "doc_id", "text", hints=HINTS, stopwords=STOP))
+    return recommended(notices(spark, d), library(spark, d), queries=[*mined, "0001", "0012"], firm_naics=["BUILDING"], as_of="2000-07-01 00:00:00", top_k=20)
 
 
 @query(f"""WITH {_vectors('qv', 'benchmark', 'item_id')}, {_vectors('dv', 'documents', 'doc_id')}, s AS (SELECT qv.id AS q, dv.id AS id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (dim) GROUP BY ALL),
