@@ -136,6 +136,13 @@ def headings(spark, d):
     return table(spark, d, "documents").where(no & ~t.startswith("#")).select("doc_id", T.is_heading(F.col("text")).alias("short_line"))
 
 
+@query()
+def heading_lines(spark, d):
+    """Every line of every document, and whether the whole heading rule holds for it."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "pos", T.is_heading(F.col("line")).alias("heading"))
+
+
 @query()
 def document_summaries(spark, d):
     return table(spark, d, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bidlens.operators import chunking
 from bidlens.registry import ORACLE_SQL, QUERIES
 from bidlens.sources.tables import notices, table
 
@@ -25,3 +26,9 @@ def test_requirements_meet_sections_of_all_sources(spark):
 def test_recommended_from_all_notices(spark):
     ids = [r.notice_id for r in QUERIES["recommend_ranked"](spark, SF).collect()]
     assert notices(spark, SF).where(F.col("notice_id").isin(*ids) & (F.col("posted") < "2000-06-01")).count()
+
+
+def test_heading_lines(spark):
+    got = {(r.doc_id, r.pos): r.heading for r in QUERIES["heading_lines"](spark, SF).collect()}
+    docs = table(spark, SF, "documents").where("text IS NOT NULL").collect()
+    assert got == {(d.doc_id, i): chunking.is_heading(x) for d in docs for i, x in enumerate(d.text.split("\n"))}
