@@ -128,6 +128,22 @@ def plain_prose(c: Column, export: bool = False) -> Column:
     return stripped(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, stripped(F.coalesce(c, F.lit("")))))
 
 
+def template_score(kind: Column, category: Column, name: Column, n_chunks: Column) -> Column:
+    """How well a document stands for a whole proposal: technical and past-performance volumes over line cards and price forms."""
+    low = F.lower(name)
+    holds = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    rules = [
+        (kind == "Proposal", 12.0),
+        (kind == "Technical Document", 8.0),
+        ((kind == "Past Performance") & (n_chunks >= 5), 10.0),
+        (category.isin("Technical", "Past Performance"), 4.0),
+        (holds("proposal", "excitation", "technical volume", "volume 1"), 6.0),
+        (kind.isin("Capability Statement", "Pricing") & (n_chunks <= 3), -8.0),
+        (holds("line card", "capabilities statement"), -6.0),
+    ]
+    return reduce(lambda a, r: a + F.when(r[0], r[1]).otherwise(0.0), rules, F.least(n_chunks, F.lit(25)) * 0.5)
+
+
 def is_heading(line: Column) -> Column:
     """One line of 3 to 90 characters that starts with # or a number, or is mostly capitals or capitalised words, and does not end a sentence."""
     s = stripped(line)

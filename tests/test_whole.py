@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bidlens.functions import text as T
 from bidlens.operators import chunking
 from bidlens.registry import ORACLE_SQL, QUERIES
 from bidlens.sources.tables import notices, table
@@ -32,3 +33,28 @@ def test_heading_lines(spark):
     got = {(r.doc_id, r.pos): r.heading for r in QUERIES["heading_lines"](spark, SF).collect()}
     docs = table(spark, SF, "documents").where("text IS NOT NULL").collect()
     assert got == {(d.doc_id, i): chunking.is_heading(x) for d in docs for i, x in enumerate(d.text.split("\n"))}
+
+
+def brute_score(kind, category, name, n):
+    score = {"Proposal": 12, "Technical Document": 8}.get(kind, 0) + 10 * (kind == "Past Performance" and n >= 5)
+    score += 4 * (category in ("Technical", "Past Performance")) + min(n, 25) * 0.5
+    score += 6 * any(w in name.lower() for w in ("proposal", "excitation", "technical volume", "volume 1"))
+    score -= 8 * (kind in ("Capability Statement", "Pricing") and n <= 3)
+    return score - 6 * any(w in name.lower() for w in ("line card", "capabilities statement"))
+
+
+def test_template_score(spark):
+    rows = [
+        ("Proposal", "Technical", "Volume 1", 40), ("Technical Document", "Technical", "x", 2), ("Past Performance", "Past Performance", "x", 4),
+        ("Past Performance", "Past Performance", "x", 5), ("Pricing", "Pricing", "x", 3), ("Pricing", "Pricing", "x", 4), ("Other", "src1", "Line Card", 0),
+    ]
+    df = spark.createDataFrame(rows, "kind string, category string, name string, n int").withColumn("s", T.template_score(F.col("kind"), F.col("category"), F.col("name"), F.col("n")))
+    assert [r.s for r in df.collect()] == [brute_score(*r) for r in rows]
+
+
+def test_template_scored(spark):
+    chunks = {int(r.doc_id): r["count"] for r in chunking.chunks(table(spark, SF, "documents"), "doc_id", "text").groupBy("doc_id").count().collect()}
+    docs = QUERIES["doc_type_rules"](spark, SF).join(table(spark, SF, "documents"), "doc_id").collect()
+    scored = [(brute_score(d.doc_type, d.source, f"doc_{d.doc_id}", chunks.get(d.doc_id, 0)), -d.doc_id) for d in docs]
+    best = max(scored)
+    assert [tuple(r) for r in QUERIES["template_scored"](spark, SF).select("doc_id", "score").collect()] == ([(-best[1], best[0])] if best[0] > 0 else [])
