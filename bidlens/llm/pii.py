@@ -23,6 +23,8 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Characters on either side of a match in which context words count.
 CONTEXT_CHARS = 40
+#: Matches that so many characters can hold, and one: none is shorter than four.
+CONTEXT_MATCHES = 11
 #: What an added span's score must reach.
 LEAST_SCORE = 0.5
 
@@ -71,19 +73,25 @@ def _confirmed(kind: Kind, m: Column) -> Column:
 def _spans(k: int, kind: Kind) -> Column:
     """The confirmed spans of a kind, from its matches _m<k> and the pieces between them _g<k>; _FOUND."""
     m, g = F.col(f"_m{k}"), F.col(f"_g{k}")
-    around = F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("b"), F.slice(g, F.lit(2), F.size(m)).alias("a"))
+    left = lambda c: F.left(c, F.lit(CONTEXT_CHARS))
+    right = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+    piece = lambda i: F.zip_with(F.slice(g, i + 2, CONTEXT_MATCHES), F.slice(m, i + 2, CONTEXT_MATCHES), lambda p, q: F.concat(left(p), F.coalesce(left(q), F.lit(""))))
+    after_each = F.transform(m, lambda _, i: left(F.array_join(piece(i), "")))
+    around = F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("b"), after_each.alias("a"))
 
     def step(acc: Column, x: Column) -> Column:
         match, before, after = x["m"], x["b"], x["a"]
         start = acc["at"] + F.length(before)
-        near = F.lower(F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(after, F.lit(CONTEXT_CHARS))))
+        lead = right(F.concat(acc["tail"], before))
+        near = F.lower(F.concat(lead, F.lit(" "), after))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), 0.2).otherwise(0.0)
         score = F.least(score, F.lit(1.0))
         ok = _confirmed(kind, match) & (F.lit(kind.base) | (score >= LEAST_SCORE))
         span = F.struct(start.cast("int").alias("start"), (start + F.length(match)).cast("int").alias("end"), F.lit(k).alias("kind"), score.alias("score"))
-        return F.struct((start + F.length(match)).cast("int").alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        tail = right(F.concat(lead, match))
+        return F.struct((start + F.length(match)).cast("int").alias("at"), tail.alias("tail"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
     return F.when(F.size(m) > 0, F.aggregate(around, begin, step)["out"]).otherwise(F.expr(f"cast(array() as {_FOUND})"))
 
 
@@ -98,7 +106,9 @@ def found_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             may = text.contains(kind.gate) & may
         columns[f"_m{k}"] = F.when(may, F.regexp_extract_all(text, F.lit(kind.pattern), 0)).otherwise(none)
         columns[f"_g{k}"] = F.when(may, F.split(text, kind.pattern, -1)).otherwise(none)
-    out = docs.withColumns(columns).withColumn("findings", F.array_sort(F.concat(*[_spans(k, kind) for k, kind in enumerate(KINDS)])))
+    turned = lambda a, b: lambda s: F.struct(s["start"].alias("start"), s[a].alias(a), s[b].alias(b), s["score"].alias("score"))
+    every = F.concat(*[_spans(k, kind) for k, kind in enumerate(KINDS)])
+    out = docs.withColumns(columns).withColumn("findings", F.transform(F.array_sort(F.transform(every, turned("kind", "end"))), turned("end", "kind")))
     return out.drop(*columns)
 
 

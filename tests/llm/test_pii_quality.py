@@ -79,6 +79,24 @@ def test_added_spans_scores_and_redaction(spark):
     assert r.redacted_text == "mail me: <email> <ip>" and r.findings[0].score > 0.9 > r.findings[1].score
 
 
+def test_kinds_that_start_together(spark):
+    texts = ["1.2.3.4@x.com", "+15235551055@x.com", "4467920212765298@x.com"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.s for r in found_pii(df).select(span_text(F.col("findings")).alias("s")).collect()]
+    assert got == [",".join(brute_base(t)) for t in texts] and got[0] == "email:0:13,ip:0:7"
+
+
+def test_context_reaches_over_other_matches(spark):
+    ssn = "123-45-6789, 234-56-7890, 345-67-8901, 456-78-9012"
+    texts = [f"SSNs: {ssn}", f"{ssn} ssn", "000-45-6789 ssn", "ssn 000-45-6789, 234-56-7890", "ssn" + " " * 38 + "123-45-6789", "123-45-6789" + " " * 38 + "ssn"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = []
+    for t in texts:
+        at = [x for x in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t) if not x[0].startswith("000")]
+        want.append([(x.start(), x.end()) for x in at if "ssn" in (t[max(0, x.start() - 40) : x.start()] + " " + t[x.end() : x.end() + 40]).lower()])
+    assert [[(s.start, s.end) for s in r.findings] for r in found_pii(df).collect()] == want and [len(w) for w in want[:4]] == [3, 3, 0, 1]
+
+
 def brute_stats(text):
     words = brute.WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if brute.WORD.search(x)]
