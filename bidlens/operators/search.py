@@ -73,6 +73,22 @@ def first_seen(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("_seen", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_seen = 1").drop("_seen")
 
 
+#: Values of the key in a bucket of numbered_by.
+BUCKET = 50_000
+
+
+def numbered_by(df: DataFrame, group: str, key: str, out: str, bucket: int = BUCKET) -> DataFrame:
+    """df with `out`: 1, 2, ... within each group by a whole-number key that no two of its rows share. Ranges of the key are numbered by
+    themselves, and shifted by the rows of the ranges before, so that no task holds a whole group."""
+    df = df.withColumn("_bucket", F.floor(F.col(key) / bucket))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    shifts = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)))
+    joined = rows.join(shifts, rows[group].eqNullSafe(shifts["_g"]) & rows["_bucket"].eqNullSafe(shifts["_b"]))
+    return joined.withColumn(out, (F.col("_shift") + F.col("_at")).cast("int")).drop("_bucket", "_at", "_g", "_b", "_shift")
+
+
 def overlaid(latest: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     """Latest rows, and pooled ones that the latest do not have."""
     return latest.unionByName(pool.join(latest.select(key), key, "left_anti"), allowMissingColumns=True)

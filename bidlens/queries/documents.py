@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import chunking, mining
 from ..operators import requirements as R
-from ..operators.search import first_seen
+from ..operators.search import first_seen, numbered_by
 from ..registry import query
 from ..sources.tables import library, table
 
@@ -215,5 +214,5 @@ def upload_guard(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::int AS number, 'doc_' || doc_id || ' #' || (row_number() OVER (PARTITION BY source ORDER BY doc_id)) || ' · ' || source AS citation FROM documents")
 def citations(spark, d):
-    numbered = library(spark, d).withColumn("number", F.row_number().over(Window.partitionBy("category").orderBy("doc_id")))
+    numbered = numbered_by(library(spark, d).select("doc_id", "name", "category"), "category", "doc_id", "number")
     return numbered.select("doc_id", "number", F.concat("name", F.lit(" #"), F.col("number").cast("string"), F.lit(" · "), "category").alias("citation"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from bidlens.functions import text as T
 from bidlens.operators import chunking
+from bidlens.operators.search import numbered_by
 from bidlens.registry import ORACLE_SQL, QUERIES
 from bidlens.sources.tables import notices, table
 
@@ -35,6 +36,14 @@ def test_heading_lines(spark):
     assert got == {(d.doc_id, i): chunking.is_heading(x) for d in docs for i, x in enumerate(d.text.split("\n"))}
 
 
+def test_numbers_over_ranges(spark):
+    rows = [(g, k) for g in ("a", "b", None) for k in (-7, -3, 0, 2, 3, 5, 6, 40, None)]
+    got = {(r.g, r.k): r.n for r in numbered_by(spark.createDataFrame(rows, "g string, k long").repartition(3), "g", "k", "n", bucket=3).collect()}
+    assert got == {(g, k): i for g in ("a", "b", None) for i, k in enumerate((None, -7, -3, 0, 2, 3, 5, 6, 40), 1)}
+    plan = QUERIES["citations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in plan
+
+
 def brute_score(kind, category, name, n):
     score = {"Proposal": 12, "Technical Document": 8}.get(kind, 0) + 10 * (kind == "Past Performance" and n >= 5)
     score += 4 * (category in ("Technical", "Past Performance")) + min(n, 25) * 0.5
