@@ -1,49 +1,60 @@
 """Exact Jaccard self-join of documents by word shingles, over a token-group matrix.
 
-1. Texts with equal shingle sets are one document from here on, the one of the smallest id.
-2. Prefix filter: of two sets that are similar enough, the first l common tokens in any fixed order lie among the first
+1. Prefix filter: of two sets that are similar enough, the first l common tokens in any fixed order lie among the first
    n - needed + l tokens of each, so that they share l tokens of these prefixes; l is a share of n. The order puts tokens
    that tasks see often last, then goes by hash. Two Bloom filters tell which prefix tokens another document may hold;
    documents with fewer than l of these are linked with nothing, and no whole set of theirs is shuffled.
-3. Similar documents are partitioned into groups: each prefix token offers its smallest document as a hub, documents
-   are verified against the hubs offered to them, and links to hubs make the first components; then hubs of other
-   components are offered, for some rounds.
-4. Documents with a prefix token in several components are partitioned into groups by MinHash; the matrix stores each
-   group's token union, of its members' prefixes. Groups that share a token meet; every member of one is a query on the
-   other: its overlap with the union bounds its overlap with each member, and only if it reaches l the group is opened
-   to it, its members of other components compared on prefixes, then exactly on whole sets.
-5. All links together give the components.
-
-Tokens that lie in one component only offer nothing in step 4, so that groups of copies cost what their documents do
-and not their pairs. Links inside a component that change no component are not listed.
+2. Similar documents are partitioned into groups: they are dealt by the first suspected token of their prefixes, a hot
+   one into several buckets of about GROUP documents; texts with equal sets are one document from here on; and the
+   documents of a bucket that exact links connect make a group.
+3. The matrix stores each group's token union, over the whole sets of its members, and which members hold which token.
+4. Groups whose prefixes share enough tokens meet. Every member of one is a query on the other: its overlap with the
+   union bounds its overlap with each member, and only if that leaves a link possible the group is opened to it. Opened
+   groups are compared exactly, two rows of the matrix at a time: one link joins two groups.
+5. Each token first offers its smallest group as a hub; then, for some rounds, hubs of other components; then all pairs
+   of groups of different components that share a token meet. Links give the components.
+
+Tokens that lie in one component only offer nothing any more, so that groups of copies cost what their documents do
+and not their pairs. Links that change no component are not listed.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A set has the distinct shingles, or, with fewer words, the whole sequence;
 without words (null, empty) it is empty and linked with nothing. Tokens are 64-bit hashes, equal sets 128-bit ones.
-Rows that share an id and a text are one document; rows that share the id alone are taken together: linked by their id.
+Rows that share an id are linked by it, whatever their texts. A row without id is told the component of its set's
+other rows, null if there are none, and links nothing. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seen
 from .components import components
-from .scratch import stored
+from .scratch import dropped, stored
 from .words import MULT_A, MULT_B, mixed, rolling, slices, texts, word_hashes
 
 #: Tokens that a task sees in so many of its documents go last in the order.
 OFTEN = 8
-#: Documents and tokens of a group at most, on average.
+#: Documents and tokens of a bucket at most, on average.
 GROUP = 128
 GROUP_TOKENS = 100_000
-#: Further rounds of offers to hubs of other components, before groups are searched.
+#: Offers to a hub that one task meets, on average.
+OFFERS = 64
+#: Further rounds of offers to hubs of other components, before all pairs of groups meet.
 HUB_ROUNDS = 2
+#: Tokens that a task holds at once while it counts them.
+COUNTED = 1 << 23
+#: Names of sets that a task remembers; forgetting them costs copies, no result.
+KEPT_NAMES = 200_000
+_NO_ID = 1 << 63
+#: Columns of the bit matrix that are multiplied at once.
+_BLOCK = 1 << 14
 
 
 class Order:
@@ -131,15 +142,25 @@ def frequent_tokens(slim: DataFrame, k: int) -> Broadcast:
     at most (mean set size) x (documents a task) / OFTEN, of which the driver keeps the most frequent million. The order only
     decides how much there is to verify, never the result."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [x.tokens for b in batches for _, x in _sets(b, k)]
+    def often(found: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(found) if found else np.zeros(0, np.uint64)
         found.clear()
         every.sort()
         new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, int)
         n = np.diff(np.r_[new, len(every)])
         keep = n >= OFTEN
-        yield pa.RecordBatch.from_arrays([pa.array(every[new[keep]].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(every[new[keep]].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for _, x in _sets(batch, k):
+                found.append(x.tokens)
+                held += len(x.tokens)
+                if held >= COUNTED:
+                    yield often(found)
+                    held = 0
+        yield often(found)
 
     counts = slim.mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.select("token", F.floor(F.log2("n")).cast("int").alias("level")).orderBy(F.desc("level"), "token").limit(1_000_000).toArrow()
@@ -155,13 +176,131 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values.view(np.int64)))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
-
-
-def linked(a_n: Column, b_n: Column, shared: Column, numerator: int, denominator: int) -> Column:
+def linked(a_n, b_n, shared, numerator: int, denominator: int):
     """Whether shared / union reaches numerator / denominator."""
-    return F.lit(denominator) * shared >= F.lit(numerator) * (a_n + b_n - shared)
+    return denominator * shared >= numerator * (a_n + b_n - shared)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by `names` again, cut so that no run of equal values is in two of them."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        values = [batch.column(n).to_numpy() for n in names]
+        last = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values]))
+        edge = int(last[-1]) + 1 if len(last) else 0
+        if edge:
+            yield batch.slice(0, edge)
+        held = batch.slice(edge)
+    if held is not None:
+        yield held
+
+
+def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and the edges of its rows among them."""
+    sizes = np.asarray(pc.list_value_length(column), np.int64)
+    return column.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The common columns of each row of one bit matrix and each of another."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, a.shape[1], _BLOCK):
+        out += a[:, at : at + _BLOCK].astype(np.float32) @ b[:, at : at + _BLOCK].astype(np.float32).T
+    return out.astype(np.int64)
+
+
+def _connected(links: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the least row that it is connected with."""
+    label = np.arange(len(links))
+    while True:
+        new = np.where(links, label, len(label)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+#: A row of the matrix: the group (its least id), its members, their sizes, what they must share with a partner at
+#: least, the union of their prefixes and of their sets, and a row of bits for each member over the latter.
+MATRIX = "g long, ids array<long>, ns array<long>, least long, prefix array<long>, union array<long>, held binary"
+
+
+def _bits(held: bytes, members: int, columns: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(held, np.uint8).reshape(members, -1), axis=1, count=columns)
+
+
+def token_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For documents sorted by key, bucket, a, b, n and id: the MATRIX rows of each bucket's groups."""
+
+    def groups(ids, ns, least, prefixes, sets) -> Iterator[tuple]:
+        if len(ids) == 1:
+            yield ids[0], ids, ns, least[0], prefixes[0], sets[0], np.packbits(np.ones(len(sets[0]), np.uint8)).tobytes()
+            return
+        union, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros((len(ids), len(union)), np.uint8)
+        held[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), inverse] = 1
+        label = _connected(linked(ns[:, None], ns[None, :], _overlaps(held, held), numerator, denominator))
+        for group in np.unique(label):
+            own = np.flatnonzero(label == group)
+            own = own[np.argsort(ids[own])]
+            part = held[own]
+            some = part.any(axis=0)
+            prefix = np.unique(np.concatenate([prefixes[i] for i in own]))
+            yield ids[own[0]], ids[own], ns[own], least[own].min(), prefix, union[some], np.packbits(part[:, some], axis=1).tobytes()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("g", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("ids", "ns")), ("least", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("prefix", "union")), ("held", pa.binary())])
+        for batch in _runs(batches, ["key", "bucket"]):
+            key, bucket, a, b, n, ids, least = (batch.column(x).to_numpy() for x in ("key", "bucket", "a", "b", "n", "id", "least"))
+            prefix, prefix_at = _values(batch.column("prefix"))
+            tokens, tokens_at = _values(batch.column("tokens"))
+            new_run = np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]
+            first = np.flatnonzero(new_run | np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])])
+            edges = np.r_[np.flatnonzero(new_run[first]), len(first)]
+            rows: list[tuple] = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                at = first[lo:hi]
+                rows += groups(ids[at], n[at], least[at], [prefix[prefix_at[i] : prefix_at[i + 1]] for i in at], [tokens[tokens_at[i] : tokens_at[i + 1]] for i in at])
+                if len(rows) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return made
+
+
+def opened_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For pairs of MATRIX rows, the columns of the second one named h, h_ns, h_union and h_held: (x, y), those groups
+    that a link joins. The second group is opened to the members of the first whose overlap with its union leaves a link
+    possible."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, h = batch.column("g").to_numpy(), batch.column("h").to_numpy()
+            ns, ns_at = _values(batch.column("ns"))
+            h_ns, h_ns_at = _values(batch.column("h_ns"))
+            union, union_at = _values(batch.column("union"))
+            h_union, h_union_at = _values(batch.column("h_union"))
+            held, h_held = batch.column("held"), batch.column("h_held")
+            join = np.zeros(len(g), bool)
+            for i in range(len(g)):
+                n, m = ns[ns_at[i] : ns_at[i + 1]], h_ns[h_ns_at[i] : h_ns_at[i + 1]]
+                u, v = union[union_at[i] : union_at[i + 1]], h_union[h_union_at[i] : h_union_at[i + 1]]
+                _, at, h_at = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                least = needed(n, numerator, denominator)
+                if len(at) < least.min():
+                    continue
+                queries = _bits(held[i].as_py(), len(n), len(u))[:, at]
+                opens = np.flatnonzero(queries.sum(axis=1, dtype=np.int64) >= least)
+                if len(opens):
+                    members = _bits(h_held[i].as_py(), len(m), len(v))[:, h_at]
+                    join[i] = linked(n[opens][:, None], m[None, :], _overlaps(queries[opens], members), numerator, denominator).any()
+            yield pa.RecordBatch.from_arrays([pa.array(g[join]), pa.array(h[join])], names=["x", "y"])
+
+    return found
 
 
 def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, numerator: int = 85, denominator: int = 100, log2_bits: int = seen.LOG2_BITS) -> DataFrame:
@@ -173,19 +312,30 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         """A row for each document, and the notes of the prefix tokens."""
         names = ["id", "n", "a", "b", "segment", "once", "twice"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        tokens = []
+        tokens, held = [], 0
+
+        def notes() -> Iterator[pa.RecordBatch]:
+            for x in seen.noted(iter(tokens), log2_bits):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), t) for t in types[:4]] + x.columns, names=names)
+            tokens.clear()
+
         for batch in batches:
             for part, sets in _sets(batch, k):
                 tokens.append(sets.prefixes(order.value, numerator, denominator)[0])
+                held += len(tokens[-1])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets.n), *map(pa.array, sets.names()), *(pa.nulls(len(part), t) for t in types[4:])], names=names)
-        for notes in seen.noted(iter(tokens), log2_bits):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(notes), t) for t in types[:4]] + notes.columns, names=names)
+                if held >= COUNTED:
+                    yield from notes()
+                    held = 0
+        yield from notes()
 
     first = stored(slim.mapInArrow(noted, "id long, n long, a long, b long, " + seen.NOTES), "jaccard_first")
     bits = seen.twice_filter(first.where("segment IS NOT NULL"), log2_bits)
     known = first.where("segment IS NULL").select("id", "n", "a", "b")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents that may be linked with another one; of a task's equal sets those whose id is less than all before."""
+        least_ids: dict[tuple[int, int], int] = {}
         for batch in batches:
             for part, sets in _sets(batch, k):
                 tokens, owner = sets.prefixes(order.value, numerator, denominator)
@@ -194,89 +344,92 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 least = shared_least(needed(sets.n, numerator, denominator))  # of any partner's l and its own
                 size = np.bincount(owner, minlength=len(part))
                 good = (sets.n > 0) & (size >= least)
+                ids, (a, b) = part.column("id").to_numpy(), sets.names()
+                for i in np.flatnonzero(good).tolist():
+                    name = (int(a[i]), int(b[i]))
+                    if good[i] and ids[i] < least_ids.get(name, _NO_ID):
+                        if len(least_ids) >= KEPT_NAMES:
+                            least_ids.clear()
+                        least_ids[name] = ids[i]
+                    else:
+                        good[i] = False
                 at = np.flatnonzero(good)
                 if len(at):
-                    a, b = sets.names()
                     inside, whole = good[owner], good[sets.owner]
-                    arrays = [part.column("id").take(pa.array(at)), pa.array(sets.n[at]), pa.array(a[at]), pa.array(b[at]), pa.array(shared_least(sets.n[at])), pa.array(least[at])]
-                    yield pa.RecordBatch.from_arrays([*arrays, _lists(tokens[inside], size[at]), _lists(sets.tokens[whole], sets.n[at])], names=["id", "n", "a", "b", "l", "least", "prefix", "tokens"])
-
-    found = slim.mapInArrow(candidates, "id long, n long, a long, b long, l long, least long, prefix array<long>, tokens array<long>")
-    one = found.where("id IS NOT NULL").groupBy("a", "b", "n").agg(F.min(F.struct("id", "l", "least", "prefix", "tokens")).alias("r"))
-    sets = stored(one.select("r.id", "n", "r.l", "r.least", "r.prefix", "r.tokens"), "jaccard_sets")
-
-    # Exact counts of the prefix tokens, over distinct sets: those of one set go, and so do sets left with fewer than
-    # they must share. Of q tokens of which `least` must be shared, the first q - least + 1 hold one that is, in any
-    # order; here the rarest first.
-    every = sets.select("id", "least", F.explode("prefix").alias("token"))
-    counts = stored(every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "jaccard_counts")
-    own = every.join(counts, "token").groupBy("id", "least").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("q")).where(F.size("q") >= F.col("least"))
-    slots = stored(own.select("id", F.explode(F.slice("q", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int"))).alias("s")).select("id", "s.token"), "jaccard_slots")
-    hubs = stored(slots.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m"), "jaccard_hubs")
-    slots = stored(slots.join(hubs, "token"), "jaccard_offers")
-    lengths = lambda a, b: (denominator * F.least(a, b) >= numerator * F.greatest(a, b))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are linked: by length and prefixes, then by whole sets."""
-        px = sets.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("l").alias("x_l"), F.col("prefix").alias("x_p"))
-        py = sets.select(F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("l").alias("y_l"), F.col("prefix").alias("y_p"))
-        near = pairs.join(px, "x").join(py, "y").where(lengths(F.col("x_n"), F.col("y_n")) & (overlap(F.col("x_p"), F.col("y_p")) >= F.least("x_l", "y_l")))
-        pairs = stored(near.select("x", "y"), "jaccard_near")
-        left = sets.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("tokens").alias("x_t"))
-        right = sets.select(F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("tokens").alias("y_t"))
-        both = pairs.join(left, "x").join(right, "y")
-        return both.where(linked(F.col("x_n"), F.col("y_n"), overlap(F.col("x_t"), F.col("y_t")), numerator, denominator)).select("x", "y")
-
-    offered = slots.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
-    links = stored(verified(offered), "jaccard_hub_links")
+                    ends = np.cumsum(size[at])
+                    key = tokens[inside][ends - size[at]].view(np.int64)
+                    arrays = [pa.array(key), pa.array(ids[at]), pa.array(sets.n[at]), pa.array(a[at]), pa.array(b[at]), pa.array(least[at])]
+                    yield pa.RecordBatch.from_arrays([*arrays, _lists(tokens[inside], size[at]), _lists(sets.tokens[whole], sets.n[at])], names=["key", "id", "n", "a", "b", "least", "prefix", "tokens"])
+
+    found = stored(slim.where("id IS NOT NULL").mapInArrow(candidates, "key long, id long, n long, a long, b long, least long, prefix array<long>, tokens array<long>"), "jaccard_found")
+    hot = found.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("buckets")).where("buckets > 1")
+    hot = stored(hot, "jaccard_hot")
+    dealt = found.join(hot, "key", "left").withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.coalesce("buckets", F.lit(1)))).drop("buckets")
+    dealt = dealt.repartition("key", "bucket").sortWithinPartitions("key", "bucket", "a", "b", "n", "id")
+    matrix = stored(dealt.mapInArrow(token_groups(numerator, denominator), MATRIX), "jaccard_matrix")
+    dropped(found, hot)
+
+    # Exact counts of the prefix tokens, over groups: those of one group go, and so do groups left with fewer than they
+    # must share. Of q tokens of which `least` must be shared, the first q - least + 1 hold one that is, in any order;
+    # here the rarest first.
+    every = matrix.select("g", "least", F.explode("prefix").alias("token"))
+    counts = every.groupBy("token").agg(F.count("*").alias("m"), F.min("g").alias("hub")).where("m > 1")
+    own = every.join(counts, "token").groupBy("g", "least").agg(F.sort_array(F.collect_list(F.struct("m", "token", "hub"))).alias("q")).where(F.size("q") >= F.col("least"))
+    rare = F.slice("q", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int"))
+    slots = stored(own.select("g", F.array_max("q.m").alias("most"), F.explode(rare).alias("s")).select("g", "most", "s.token", "s.hub"), "jaccard_slots")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (g, h, most) of groups those that a link joins, as x and y. A group that `most` others may meet is
+        copied, so that no task gets them all."""
+        parts = F.ceil(F.col("most") / OFFERS).cast("int")
+        pairs = pairs.select("g", "h", F.pmod(F.xxhash64("g"), parts).cast("int").alias("part"), parts.alias("parts")).distinct()
+        pairs = stored(pairs, "jaccard_met")
+        copies = pairs.groupBy("h").agg(F.max("parts").alias("parts")).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        right = matrix.select(F.col("g").alias("h"), F.col("ns").alias("h_ns"), F.col("union").alias("h_union"), F.col("held").alias("h_held"))
+        right = copies.join(right, "h")
+        both = pairs.select("g", "h", "part").join(matrix.select("g", "ns", "union", "held"), "g").join(right, ["h", "part"])
+        out = stored(both.mapInArrow(opened_groups(numerator, denominator), "x long, y long"), "jaccard_links")
+        dropped(pairs)
+        return out
 
     def spread(links: DataFrame) -> DataFrame:
-        """Slots with their component, of tokens that lie in two components or more, with one place in each of the outermost two."""
-        part = components(links, "x", "y").withColumnsRenamed({"node": "id"})
-        placed = slots.select("id", "token").join(part, "id", "left").select("id", "token", F.coalesce("component", "id").alias("component"))
-        placed = stored(placed, "jaccard_placed")
-        at = F.struct("component", "id")
+        """Slots with their component, of tokens that lie in two components or more, with one group in each of the outermost two."""
+        part = components(links, "x", "y").withColumnsRenamed({"node": "g"})
+        placed = slots.join(part, "g", "left").select("g", "most", "token", F.coalesce("component", "g").alias("component"))
+        at = F.struct("component", "g", "most")
         split = placed.groupBy("token").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.component <> hi.component")
-        return stored(placed.join(stored(split, "jaccard_split_tokens"), "token"), "jaccard_across")
+        return stored(placed.join(split, "token"), "jaccard_across")
 
+    most = slots.groupBy(F.col("g").alias("hub")).agg(F.first("most").alias("most"))
+    links = joined(slots.where("g <> hub").select("g", "hub").distinct().join(most, "hub").select("g", F.col("hub").alias("h"), "most"))
     across = spread(links)
     for _ in range(HUB_ROUNDS):
+        if across.isEmpty():
+            break
         other = F.explode(F.array("lo", "hi"))
-        offers = across.select("id", "component", other.alias("o")).where("component <> o.component").select(F.col("id").alias("x"), F.col("o.id").alias("y")).distinct()
-        new = stored(verified(offers), "jaccard_hub_links")
+        new = joined(across.select("g", "component", other.alias("o")).where("component <> o.component").select("g", F.col("o.g").alias("h"), "o.most"))
         if new.isEmpty():
             break
         links = links.unionByName(new)
+        dropped(across)
         across = spread(links)
-
-    # Step 4: groups by MinHash, which similar sets are likely to have in common, and no larger than GROUP and GROUP_TOKENS.
-    members = across.select("id", "component").distinct().join(sets.withColumn("key", F.element_at("tokens", 1)), "id")
-    sized = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("buckets"))
-    member = F.struct("id", "component", "n", "l", "least", "prefix", "tokens")
-    matrix = members.join(sized, "key").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets"))).groupBy("key", "bucket")
-    matrix = matrix.agg(F.collect_list(member).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("union"))
-    matrix = stored(matrix.withColumn("g", F.struct("key", "bucket")).drop("key", "bucket"), "jaccard_matrix")
-    of = matrix.select("g", F.explode("members.id").alias("id"))
-    held = stored(across.select("token", "id").join(of, "id").select("token", "g").distinct().join(matrix.select("g", "lo", "hi"), "g"), "jaccard_group_tokens")
-    other = held.select("token", F.col("g").alias("h"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    apart = ~((F.col("lo") == F.col("hi")) & (F.col("h_lo") == F.col("h_hi")) & (F.col("lo") == F.col("h_lo")))
-    met = stored(held.join(other, "token").where((F.col("g") <= F.col("h")) & apart).select("g", "h").distinct(), "jaccard_met")
-
-    def opened(x: Column) -> Column:
-        """The links of a member x of g to members of h; h is opened if its union leaves them possible."""
-        same = F.col("g") == F.col("h")
-        near = lambda y: (x["component"] != y["component"]) & (~same | (x["id"] < y["id"])) & lengths(x["n"], y["n"]) & (overlap(x["prefix"], y["prefix"]) >= F.least(x["l"], y["l"]))
-        exact = lambda y: linked(x["n"], y["n"], overlap(x["tokens"], y["tokens"]), numerator, denominator)
-        found = F.transform(F.filter("h_members", lambda y: near(y) & exact(y)), lambda y: F.struct(x["id"].alias("x"), y["id"].alias("y")))
-        return F.when(overlap(x["prefix"], F.col("h_union")) >= x["least"], found)
-
-    both = met.join(matrix.select("g", "members"), "g").join(matrix.select(F.col("g").alias("h"), F.col("members").alias("h_members"), F.col("union").alias("h_union")), "h")
-    found_links = F.flatten(F.filter(F.transform("members", opened), lambda z: z.isNotNull()))
-    more = stored(both.select(F.explode(found_links).alias("z")).select("z.x", "z.y"), "jaccard_group_links")
-    joined = components(links.unionByName(more), "x", "y")
-
-    # Back to every document, through its set; rows that share an id are linked by it.
-    least = known.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("first"))
-    least = stored(least.join(joined, least["first"] == joined["node"], "left").select("a", "b", "n", F.coalesce("component", "first").alias("component")), "jaccard_classes")
-    keyed = known.join(least, ["a", "b", "n"], "left")
-    return keyed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    if not across.isEmpty():
+        other = across.select("token", F.col("g").alias("h"), F.col("component").alias("h_component"), "most")
+        met = across.select("token", "g", "component").join(other, "token").where("g < h AND component <> h_component")
+        links = links.unionByName(joined(met.select("g", "h", "most")))
+    dropped(across, slots)
+
+    # Back to every document: its group, its set, and the rows that share its id.
+    grouped = matrix.select("g", F.explode("ids").alias("first"))
+    grouped = grouped.join(components(links, "x", "y").withColumnsRenamed({"node": "g"}), "g", "left").select("first", F.coalesce("component", "g").alias("component"))
+    classes = known.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("first"))
+    classes = classes.join(grouped, "first", "left").select("a", "b", "n", F.coalesce("component", "first").alias("component"))
+    rows = known.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    rows = stored(rows, "jaccard_classes")
+    dropped(first, matrix)
+    shared = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("hi")).where("x <> hi").select("id", "x")
+    more = stored(rows.join(shared, "id").select("x", F.col("component").alias("y")).where("x <> y").distinct(), "jaccard_shared_ids")
+    if not more.isEmpty():
+        again = components(more, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        rows = rows.join(again, "component", "left").select("id", "n", F.coalesce("joined", "component").alias("component"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -4,22 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Spark removes the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests), under a temporary folder."""
+    """A new path under spark.checkpoint.dir; a temporary folder where that is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own.setdefault("root", tempfile.mkdtemp(prefix="bidlens-"))
     return f"{root.rstrip('/')}/bidlens-{uuid.uuid4().hex[:12]}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage, survives lost executors and is computed once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a written table: cuts the lineage, survives lost executors and is computed once. Its shuffle files go at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` returned and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(t)).getParent()
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

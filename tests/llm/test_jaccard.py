@@ -97,3 +97,28 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {x: top(x) for x in up}
     assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "un deux trois quatre cinq"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, c), (9, None), (4, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in document_classes(df).collect())
+    assert got == [(3, 3), (4, 4), (5, 3), (5, 3), (7, 7), (9, 3), (9, 3)]
+
+
+def test_groups_beyond_one_bucket(spark, monkeypatch):
+    """Hot keys dealt into many small buckets: links between groups come from opening them."""
+    monkeypatch.setattr("bidlens.llm.jaccard_join.GROUP", 3)
+    monkeypatch.setattr("bidlens.llm.jaccard_join.OFFERS", 2)
+    r = random.Random(11)
+    words, rows = [f"w{i}" for i in range(500)], []
+    for c in range(4):
+        base = [r.choice(words) for _ in range(90)]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(len(t))] = r.choice(words)
+            rows.append(" ".join(t))
+    rows = list(enumerate(rows))
+    got = sorted(tuple(x) for x in document_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows)
