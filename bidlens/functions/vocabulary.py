@@ -33,45 +33,54 @@ SET_ASIDES = {
 }
 
 # Words that embeddings leave out.
-EMBED_STOPWORDS = """
-the a an and or of to in for on with is are be as at by this that it from will shall we our their they i you he
-she but not can
-""".split()
+EMBED_STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "be", "as", "at", "by", "this",
+    "that", "it", "from", "will", "shall", "we", "our", "their", "they", "i", "you", "he", "she", "but", "not", "can",
+]
 
 # Words that make poor search queries.
-QUERY_STOPWORDS = """
-the and for with that this from will shall are was were has have had not all any our their you your they them its
-his her she him proposal proposals government contract contractor contracts offeror offerors solicitation section
-sections page pages volume price pricing cost costs data company inc llc corporation corp may must should would
-include included including provided provides requirement requirements experience project projects year years date
-number table figure appendix attachment reference references task tasks scope statement request following described
-based ensure per via use used using within into upon also each between under over such these those which where when
-what who able ability quality schedule deliver delivery us u.s usa federal agency department office program provide
-providing team personnel staff approach plan phase effort current new existing various additional overall total
-general specific applicable appropriate located location site area areas region facility facilities
-""".split()
+QUERY_STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "from", "will", "shall", "are", "was", "were", "has", "have", "had",
+    "not", "all", "any", "our", "their", "you", "your", "they", "them", "its", "his", "her", "she", "him", "proposal",
+    "proposals", "government", "contract", "contractor", "contracts", "offeror", "offerors", "solicitation",
+    "section", "sections", "page", "pages", "volume", "price", "pricing", "cost", "costs", "data", "company", "inc",
+    "llc", "corporation", "corp", "may", "must", "should", "would", "include", "included", "including", "provided",
+    "provides", "requirement", "requirements", "experience", "project", "projects", "year", "years", "date", "number",
+    "table", "figure", "appendix", "attachment", "reference", "references", "task", "tasks", "scope", "statement",
+    "request", "following", "described", "based", "ensure", "per", "via", "use", "used", "using", "within", "into",
+    "upon", "also", "each", "between", "under", "over", "such", "these", "those", "which", "where", "when", "what",
+    "who", "able", "ability", "quality", "schedule", "deliver", "delivery", "us", "u.s", "usa", "federal", "agency",
+    "department", "office", "program", "provide", "providing", "team", "personnel", "staff", "approach", "plan",
+    "phase", "effort", "current", "new", "existing", "various", "additional", "overall", "total", "general",
+    "specific", "applicable", "appropriate", "located", "location", "site", "area", "areas", "region", "facility",
+    "facilities",
+]
 
 # Places and buyers, which are no capabilities.
-PLACE_STOPWORDS = """
-north south east west central upper lower county city town river lake creek dam valley mountain mountains island bay
-harbor port fort base district regional national army navy marine marines force guard coast corps engineers command
-battalion brigade wing usace usarmy dod gsa va nasa doe dhs alabama alaska arizona arkansas california colorado
-connecticut delaware florida georgia hawaii idaho illinois indiana iowa kansas kentucky louisiana maine maryland
-massachusetts michigan minnesota mississippi missouri montana nebraska nevada hampshire jersey mexico york carolina
-dakota ohio oklahoma oregon pennsylvania rhode tennessee texas utah vermont virginia washington wisconsin wyoming
-columbia
-""".split()
+PLACE_STOPWORDS = [
+    "north", "south", "east", "west", "central", "upper", "lower", "county", "city", "town", "river", "lake", "creek",
+    "dam", "valley", "mountain", "mountains", "island", "bay", "harbor", "port", "fort", "base", "district",
+    "regional", "national", "army", "navy", "marine", "marines", "force", "guard", "coast", "corps", "engineers",
+    "command", "battalion", "brigade", "wing", "usace", "usarmy", "dod", "gsa", "va", "nasa", "doe", "dhs", "alabama",
+    "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia",
+    "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland",
+    "massachusetts", "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "hampshire",
+    "jersey", "mexico", "york", "carolina", "dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode",
+    "tennessee", "texas", "utah", "vermont", "virginia", "washington", "wisconsin", "wyoming", "columbia",
+]
 
 # Words that name a capability.
-CAPABILITY_HINTS = """
-construction engineering installation maintenance design integration testing commissioning fabrication inspection
-modernization upgrade upgrades replacement repair rehabilitation operations electrical mechanical civil structural
-power energy transmission distribution substation substations generation generator generators exciter excitation
-turbine switchgear relay protection controls control scada automation hydroelectric hydropower infrastructure
-cybersecurity network networking software hardware staffing logistics training consulting environmental welding hvac
-telecommunications fiber cabling instrumentation calibration procurement supply lines line grid voltage breaker
-transformer transformers motor motors pump pumps piping
-""".split()
+CAPABILITY_HINTS = [
+    "construction", "engineering", "installation", "maintenance", "design", "integration", "testing", "commissioning",
+    "fabrication", "inspection", "modernization", "upgrade", "upgrades", "replacement", "repair", "rehabilitation",
+    "operations", "electrical", "mechanical", "civil", "structural", "power", "energy", "transmission",
+    "distribution", "substation", "substations", "generation", "generator", "generators", "exciter", "excitation",
+    "turbine", "switchgear", "relay", "protection", "controls", "control", "scada", "automation", "hydroelectric",
+    "hydropower", "infrastructure", "cybersecurity", "network", "networking", "software", "hardware", "staffing",
+    "logistics", "training", "consulting", "environmental", "welding", "hvac", "telecommunications", "fiber",
+    "cabling", "instrumentation", "calibration", "procurement", "supply", "lines", "line", "grid", "voltage",
+    "breaker", "transformer", "transformers", "motor", "motors", "pump", "pumps", "piping",
+]
 
 # Document types by the words that tell them, in order of precedence.
 DOC_TYPE_RULES = [
@@ -102,6 +111,23 @@ REQUIREMENT_ORDER = ["Section M", "Evaluation", "Section L", "SOW (shall)", "Oth
 # Fixed value: what makes a sentence a requirement.
 REQUIREMENT_WORDS = r"shall|must|will be evaluated|is required to|are required to|offeror[s]? (?:shall|must|will)|the government will evaluate"
 
+# Where sentences end, what numbers a heading, and how long a heading and its label may be.
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])"
+HEADING_NUMBER = r"(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]\s+"
+HEADING_LENGTHS, HEADING_WORDS = (3, 90), 12
+CAPITAL_LETTERS, CAPITAL_WORDS = 0.6, 0.7
+
+# The trailing blocks that prose drops, Markdown marks, and citations.
+TRAILING_BLOCKS = [
+    r"(?is)(?:\n\s*)+(?:#{1,4}\s*)?\*{0,2}Sources\*{0,2}\s*:.*",
+    r"(?is)(?:\n\s*)+(?:#{1,4}\s*)?\*{0,2}(?:References|Citations|Bibliography|Works\s+Cited)\*{0,2}\s*:.*",
+]
+CITATION = r"\[(?:KB(?:\s+style)?|Solicitation)[^\]]*\]"
+
+# What begins a line that names no company, and the legal forms that tell one.
+NO_COMPANY = r"title page|volume|technical proposal|to:|subj:|ref:"
+LEGAL_FORMS = r"LLC|L\.L\.C\.|INC|CORP|LTD"
+
 # Statuses of a requirement and the least similarity for each.
 STATUSES = ["Addressed", "Partial", "Not Addressed"]
 ADDRESSED, PARTIAL = 0.58, 0.45

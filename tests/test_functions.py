@@ -62,6 +62,13 @@ def test_html(spark):
     assert got == ["A b\n\n• x\n• z &lt; q<b>\nend", "", "a\n\nb"]
 
 
+def test_entities(spark):
+    import html
+
+    rows = ["&amp;lt; &#65;&#x42; &#0; &#xD800; &#1114112; &#128; &euro;&CounterClockwiseContourIntegral;", "&nosuch; &copy 1 &notin; &#99999999999999999999; &", "a&&b&;", "&#x41 &#66z", "", None, "&NotEqualTilde; &Eacute;t&eacute;"]
+    assert values(spark, rows, T.resolved) == [html.unescape(x) if x is not None else None for x in rows]
+
+
 def test_prose(spark):
     text = "# Title\n**bold** and *it* and snake_case_name [KB #1]\n\n\n\nmore  \nend\n\n**Sources**: a\nb"
     assert values(spark, [text], T.plain_prose) == ["Title\nbold and it and snakecasename [KB 1]\n\nmore\nend"]
@@ -71,7 +78,7 @@ def test_prose(spark):
 def test_headings_and_lines(spark):
     rows = ["# A b", "1.2. Scope of work", "SYSTEM DESCRIPTION", "Past Performance", "this is not one", "Ends here.", "ab", "IV. Team:", "a\nb"]
     assert values(spark, rows, T.is_heading) == [True, True, True, True, False, False, False, True, False]
-    assert values(spark, rows[:2], T.heading_label) == ["A b", "Scope of work"]
+    assert values(spark, [*rows[:2], "IV. Team:", "## " + "x" * 100, "#:", "A :: "], T.heading_label) == ["A b", "Scope of work", "Team", "x" * 90, "", "A"]
     got = values(spark, ["Tab 1 Summary\ntab 2  Data \nTab 1 Summary\nTable 3 x"], lambda c: T.titled_lines(c, "Tab"))
     assert [(r.number, r.title) for r in got[0]] == [("1", "Summary"), ("2", "Data")]
     assert values(spark, ["Volume 1 Inc\n\nAcme Power, LLC\nx", "none", None], T.company_line) == ["Acme Power, LLC", "The Offeror", "The Offeror"]

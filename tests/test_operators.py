@@ -1,5 +1,6 @@
 """Operators on small frames."""
 
+import random
 from datetime import date
 
 import pytest
@@ -72,19 +73,92 @@ def test_requirement_matrix_caps_before_it_sorts(spark):
     assert counts == {"Addressed": 0, "Partial": 1, "Not Addressed": 0}
 
 
+def cut(spark, text, size, overlap):
+    rows = chunking.chunks(spark.createDataFrame([(1, text)], "doc_id int, text string"), "doc_id", "text", size=size, overlap=overlap).orderBy("ordinal").collect()
+    return [(r.text, r.section) for r in rows]
+
+
 def test_chunks(spark):
     text = "\n\n".join(" ".join(f"w{p}x{i}" for i in range(40)) for p in range(20))
-    assert all(len(t) <= 580 for t, _ in chunking.chunked(text, 500, 80)) and len(chunking.chunked(text, 500, 80)) > 5
-    assert len(chunking.chunked("x" * 5000, 1000, 100)) >= 5 and chunking.chunked("", 100, 10) == [] and chunking.chunked("# A\n\n# B", 100, 10) == []
+    got = cut(spark, text, 500, 80)
+    assert all(len(t) <= 580 for t, _ in got) and len(got) > 5
+    assert len(cut(spark, "x" * 5000, 1000, 100)) >= 5 and cut(spark, "", 100, 10) == [] and cut(spark, "# A\n\n# B", 100, 10) == []
     with pytest.raises(ValueError):
-        chunking.chunked("a", 10, 10)
-    got = chunking.chunked("# One\n\n" + "alpha beta gamma. " * 8 + "\n\n# Two\n\nshort text.", 200, 20)
+        chunking.chunks(spark.createDataFrame([(1, "a")], "doc_id int, text string"), "doc_id", "text", size=10, overlap=10)
+    got = cut(spark, "# One\n\n" + "alpha beta gamma. " * 8 + "\n\n# Two\n\nshort text.", 200, 20)
     assert [s for _, s in got] == ["One", "Two"] and "One" not in got[0][0]
     df = spark.createDataFrame([(1, text), (2, None), (3, "# Only")], "doc_id int, text string")
     rows = chunking.chunks(df, "doc_id", "text", size=500, overlap=80).collect()
     assert {r.doc_id for r in rows} == {"1"} and sorted(r.ordinal for r in rows) == list(range(len(rows))) and len({r.chunk_id for r in rows}) == len(rows)
 
 
+def test_chunks_word_for_word(spark):
+    """Overlaps are whole sentences, long paragraphs are packed by sentences, long sentences cut into windows."""
+    assert cut(spark, "Aaa bbb. Ccc ddd.\n\nEee fff. Ggg hhh.\n\nIii.", 30, 10) == [("Aaa bbb. Ccc ddd.", None), ("Ccc ddd.\n\nEee fff. Ggg hhh.", None), ("Ggg hhh.\n\nIii.", None)]
+    assert cut(spark, "abcdefghij" * 3, 12, 2) == [("abcdefghijab", None), ("abcdefghijab", None), ("abcdefghij", None)]
+    assert chunking.ending("One. Two  three. Four", 10) == "Four" and chunking.ending("One. Two  three.  Four", 16) == "Two  three. Four" and chunking.ending("abcdef", 3) == "def" and chunking.ending("a", 0) == ""
+
+
+def brute_chunks(paras, size, overlap):
+    """By the definition, a character at a time where that is possible: grows each chunk until the next piece would not fit."""
+    import re
+
+    gap = re.compile(r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])")
+
+    def tail(t):
+        if len(t) <= overlap:
+            return t
+        parts = gap.split(t)
+        fitting = [" ".join(parts[i:]) for i in range(len(parts)) if len(" ".join(parts[i:])) <= overlap]
+        return max(fitting, key=len) if fitting else t[len(t) - overlap :]
+
+    out, open_ = [], ["", None]
+
+    def close():
+        if open_[0]:
+            out.append(tuple(open_))
+
+    for text, section in paras:
+        if open_[0] and section != open_[1] and len(open_[0]) >= size / 2:
+            close()
+            open_[:] = [tail(open_[0]), section]
+        pieces = [(text, "\n\n")]
+        if len(text) > size:
+            close()
+            open_[:] = ["", section]
+            pieces = [(p, " ") for p in gap.split(text)]
+        for piece, joint in pieces:
+            if len(piece) > size:
+                close()
+                out.extend((piece[i : i + size], section) for i in range(0, len(piece), size - overlap))
+                open_[:] = ["", section]
+            elif not open_[0]:
+                open_[:] = [piece, section]
+            elif len(open_[0] + joint + piece) <= size:
+                open_[0] += joint + piece
+            else:
+                close()
+                open_[:] = [tail(open_[0]) + joint + piece, section]
+        if len(text) > size:
+            close()
+            open_[:] = ["", None]
+    close()
+    return out
+
+
+def test_chunks_like_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        paras, section = [], None
+        for _ in range(r.randint(1, 8)):
+            section = r.choice([section, section, "A", "B"])
+            words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) + r.choice(["", "", ".", "!"]) for _ in range(r.randint(1, 40))]
+            paras.append((" ".join(w.capitalize() if r.random() < 0.5 else w for w in words), section))
+        size = r.randint(20, 120)
+        overlap = r.randint(1, size - 1)
+        assert list(chunking.Packing(size, overlap).packed(paras)) == brute_chunks(paras, size, overlap)
+
+
 def test_checklists(spark):
     df = spark.createDataFrame([("1", "o", "SBA", date(2026, 6, 10)), ("2", "Sources Sought", None, None), ("3", None, "", date(2026, 5, 1)), ("4", "u", "X", date(2026, 6, 2))], "notice_id string, type string, set_aside string, deadline date")
     by = {}
