@@ -6,14 +6,19 @@ a node's bounds and looks again into the bin that holds the median, first along
 rows equal there, by tie-break columns, until no bin that matters is left. The driver sees bins, at most
 BINS a node.
 
-DataFrame operations only. Nulls in a dimension or tie-break count as its least value. Rows equal in the dimension
-and all tie-breaks stay together. An empty table gives no rows.
+Rows equal in all dimensions and tie-breaks are a group and are never split. A group that weighs as much as a shard
+should is a shard of its own, whatever it weighs, and the tree deals the rest to the other shards; where a cut must leave a
+group whole on one side, the sides get shards by what they weigh.
+
+DataFrame operations only. Dimensions and tie-breaks hold no null. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +34,7 @@ class _Node:
     shards: range
     dim: str | None = None
     cut: list = field(default_factory=list)
+    share: float = 0.5
     left: _Node | None = None
     right: _Node | None = None
 
@@ -78,18 +84,29 @@ def _leaves(node: _Node) -> list[_Node]:
     return [node] if node.left is None else _leaves(node.left) + _leaves(node.right)
 
 
-def kd_shards(rows: DataFrame, dims: list[str], weight: str, *, n_shards: int | None = None, target_bytes: int | None = None, tie: list[str], tolerance: float = 0.001, group_tolerance: float = 0.01) -> DataFrame:
+def kd_shards(rows: DataFrame, dims: list[str], weight: str, *, n_shards: int | None = None, target_bytes: int | None = None, tie: list[str], tolerance: float = 0.001) -> DataFrame:
     """rows with `shard`, 0 to n_shards - 1 (or as many as target_bytes asks for), in tree order.
 
-    dims and tie are numeric columns without null or NaN; ties are broken by the columns of `tie` in turn, the
-    last of which names a row. A cut is taken between bins as soon as the bin at the median weighs no more than
-    `tolerance` of its node; a group of rows alike in all but the last tie-break is only split where it weighs
-    more than `group_tolerance`. The tree's plan grows with the number of shards, some thousands at most.
-    `rows` is read once a pass: pass a written table of slim rows.
+    dims and tie are numeric columns without null or NaN; rows alike in all of them are a group. A cut is taken between
+    bins as soon as the bin at the median weighs no more than `tolerance` of its node. The tree's plan grows with the
+    number of shards, some thousands at most. `rows` is read once a pass: pass a written table of slim rows.
     """
-    bounds = rows.agg(F.sum(weight).alias("w"), *[f(c).alias(f"{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    total = float(bounds["w"] or 0)
+    total = float(rows.agg(F.sum(weight)).first()[0] or 0)
     shards = n_shards or max(1, math.ceil(total / target_bytes))
+    key = [*dims, *tie]
+    groups = rows.groupBy(*key).agg(F.sum(weight).alias("_w")).where(F.col("_w") >= total / shards)
+    heavy = groups.orderBy(F.desc("_w"), *key).limit(shards - 1).collect()
+    alone = F.lit(None).cast("int")
+    for i, g in enumerate(heavy):
+        alone = F.when(reduce(and_, (F.col(c) == F.lit(g[c]) for c in key)), shards - 1 - i).otherwise(alone)
+    rest = rows.where(alone.isNull()) if heavy else rows
+    tree = _tree(rest, dims, weight, shards - len(heavy), tie, tolerance)
+    return rows.withColumn("shard", F.coalesce(alone, tree) if heavy else tree)
+
+
+def _tree(rows: DataFrame, dims: list[str], weight: str, shards: int, tie: list[str], tolerance: float) -> Column:
+    """The shard of a row, as nested conditions."""
+    bounds = rows.agg(F.sum(weight).alias("w"), *[f(c).alias(f"{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
     width = {c: (bounds[f"hi_{c}"] or 0) - (bounds[f"lo_{c}"] or 0) or 1 for c in dims}
     root = _Node(range(shards))
     while open_ := [n for n in _leaves(root) if len(n.shards) > 1]:
@@ -119,14 +136,14 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, *, n_shards: int |
             bins: dict[int, list] = {}
             for r in counted.groupBy("n", "b").agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
                 bins.setdefault(r.n, []).append((r.b, float(r.w), r.lo, r.hi))
-            searches = [s for s in searches if not _advanced(s, sorted(bins[number[id(s.node)]]), tolerance, group_tolerance)]
+            searches = [s for s in searches if not _advanced(s, sorted(bins[number[id(s.node)]]), tolerance)]
         for n in open_:
-            half = len(n.shards) // 2
+            half = min(max(round(len(n.shards) * n.share), 1), len(n.shards) - 1)
             n.left, n.right = _Node(n.shards[:half]), _Node(n.shards[half:])
-    return rows.withColumn("shard", _leaf(root, tie, {id(n): n.shards[0] for n in _leaves(root)}))
+    return _leaf(root, tie, {id(n): n.shards[0] for n in _leaves(root)})
 
 
-def _advanced(s: _Search, bins: list, tolerance: float, group_tolerance: float) -> bool:
+def _advanced(s: _Search, bins: list, tolerance: float) -> bool:
     """Take one step towards the median; True when the node's cut is set."""
     before, last = s.before, None
     for b, w, lo, hi in bins:
@@ -135,10 +152,10 @@ def _advanced(s: _Search, bins: list, tolerance: float, group_tolerance: float)
         before, last = before + w, hi
     last_column = len(s.fixed) == len(s.columns) - 1
     one = lo == hi
-    alike = one and len(s.fixed) == len(s.columns) - 2  # only the last tie-break can tell these rows apart
-    if w <= tolerance * s.total or (one and last_column) or (alike and w <= group_tolerance * s.total):
+    if w <= tolerance * s.total or (one and last_column):
         # The nearer edge of the bin; rows before it that an earlier pass has left behind are less than its least value.
         nearer = abs(before + w - s.target) <= abs(before - s.target)
+        s.node.share = (before + w * nearer) / s.total if s.total else 0.5
         s.node.cut = [*s.fixed, hi if nearer else math.nextafter(lo, -math.inf) if last is None else last]
         return True
     s.before = before
@@ -158,8 +175,7 @@ def sharded_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Columns id_col, size (UTF-8 bytes and 1), text_crc32, shard and slot (0, 1, ... within the shard).
 
     The dimensions are the document's size, its bytes a character and its lines, on log scales: what equal
-    texts have equal. Ties go by text_crc32, so that equal texts stay together, then by id. Null texts have size 1.
-    Rows that share the id and the text stay together; ids are told apart up to 2**53.
+    texts have equal. Ties go by text_crc32 and no further, so that equal texts are never split. Null texts have size 1.
     """
     text = F.col(text_col).cast("string")
     bare = F.coalesce(text, F.lit(""))
@@ -171,8 +187,8 @@ def sharded_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         ((F.octet_length(bare) + F.lit(1.0)) / (F.length(bare) + F.lit(1.0))).alias("d_script"),
         F.log2(F.length(bare) - F.length(F.replace(bare, F.lit("\n"))) + F.lit(1.0)).alias("d_lines"),
     )
-    slim = slim.withColumn("t_crc", F.col("text_crc32").cast("double")).withColumn("t_id", F.coalesce(F.col("id"), F.lit(-(2**63))).cast("double"))
+    slim = slim.withColumn("t_crc", F.col("text_crc32").cast("double")).withColumn("row", F.monotonically_increasing_id())
     slim = stored(slim, "shard_points")
-    out = kd_shards(slim, ["d_size", "d_script", "d_lines"], "size", n_shards=n_shards, tie=["t_crc", "t_id"])
-    placed = numbered(out.select("id", "size", "text_crc32", "shard"), "shard", [F.col("text_crc32"), F.col("id")], "slot")
+    out = kd_shards(slim, ["d_size", "d_script", "d_lines"], "size", n_shards=n_shards, tie=["t_crc"])
+    placed = numbered(out.select("id", "size", "text_crc32", "row", "shard"), "shard", [F.col("text_crc32"), F.col("id"), F.col("row")], "slot").drop("row")
     return placed.withColumnRenamed("id", id_col)
