@@ -30,6 +30,33 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in with_language(df, nothing).collect()} == {"und"} and with_language(df.limit(0), model).count() == 0
 
 
+def test_like_naive_bayes_by_hand(spark):
+    """Posteriors from dictionaries of n-grams; no two of these few n-grams share a bucket."""
+    import math
+    from collections import Counter
+
+    texts = [("en", "the cat sat on the mat"), ("en", "A dog, and the cats!"), ("de", "der Hund lief über die Straße"), ("de", "die Katze"), ("fr", "le chat  -- est là")]
+
+    def grams(t):
+        c = " " + " ".join("".join(x if x.isalpha() else " " for x in t.lower()).split()) + " "
+        return Counter(c[i : i + n] for n in (1, 2, 3) for i in range(len(c) - n + 1))
+
+    total = {lang: sum((grams(t) for own, t in texts if own == lang), Counter()) for lang, _ in texts}
+
+    def posterior(t):
+        logs = {}
+        for lang, counts in total.items():
+            of = sum(counts.values()) + 0.5 * 65536
+            logs[lang] = math.log(sum(x == lang for x, _ in texts) / len(texts)) + sum(n * math.log((counts[g] + 0.5) / of) for g, n in grams(t).items())
+        best = max(sorted(logs), key=logs.get)
+        return best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+
+    df = spark.createDataFrame([(lang, t) for lang, t in texts], "lang string, text string")
+    asked = ["the", "Katze über", "chat", "cat", "12 cats", "STRASSE straße"]
+    got = with_language(spark.createDataFrame(list(enumerate(asked)), "i int, text string"), fitted(df)).orderBy("i").collect()
+    assert [(r.lang_pred, round(r.score, 9)) for r in got] == [(b, round(p, 9)) for b, p in map(posterior, asked)]
+
+
 def test_decontamination_oracle(spark):
     assert compare(spark, "op9_decontamination", QUERIES["op9_decontamination"], ORACLE_SQL["op9_decontamination"], SF) > 10
 
