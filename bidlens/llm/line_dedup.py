@@ -7,7 +7,7 @@ are told so.
 A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends with A-Z lower-cased. Null and empty
 texts are one empty line. Every row counts as a document: repeated rows raise a key's count, and rows that
 share the largest id all keep the line. A null id counts, and never is the largest unless all are null.
-Other columns of the input, whatever their names, pass through `deduped_lines` untouched.
+Other columns of the input, whatever their names, pass through `deduped_lines` untouched. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seen
+from .names import unused
 from .scratch import stored
 from .words import slices, texts
 
@@ -80,15 +81,16 @@ def deduped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """docs with kept_text, n_lines (before) and n_dropped instead of any such columns."""
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     drops = repeated_lines(docs, id_col=id_col, text_col=text_col, least_chars=least_chars, least_docs=least_docs, log2_bits=log2_bits)
-    drops = drops.select(F.col("id").alias("_drop_id"), F.col("keys").alias("_drop_keys"))
-    joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+    drop_id, drop_keys = unused(docs.columns, "drop_id", "drop_keys")
+    drops = drops.select(F.col("id").alias(drop_id), F.col("keys").alias(drop_keys))
+    joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(F.col(drop_id)), "left").drop(drop_id)
     done = [pa.field("kept_text", pa.string()), pa.field("n_lines", pa.int64()), pa.field("n_dropped", pa.int64())]
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 kept, lines, dropped = [], [], []
-                for text, keys in zip(texts(part, text_col), part.column("_drop_keys").to_pylist()):
+                for text, keys in zip(texts(part, text_col), part.column(drop_keys).to_pylist()):
                     own = text.split(b"\n")
                     lines.append(len(own))
                     if keys:
@@ -97,9 +99,9 @@ def deduped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         text = b"\n".join(own)
                     kept.append(text)
                     dropped.append(lines[-1] - len(own))
-                rest = [(n, part.column(n)) for n in part.schema.names if n != "_drop_keys"]
+                rest = [(n, part.column(n)) for n in part.schema.names if n != drop_keys]
                 arrays = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
                 yield pa.RecordBatch.from_arrays([c for _, c in rest] + arrays, names=[n for n, _ in rest] + [f.name for f in done])
 
-    schema = joined.drop("_drop_keys").schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+    schema = joined.drop(drop_keys).schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(cleaned, schema)

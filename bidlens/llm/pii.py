@@ -7,9 +7,11 @@ text falls into between the matches add up to them.
 The patterns are written to run in linear time on any text: a match can begin only where a run of its characters
 does, or where the last match ended (\\G), and runs are possessive. That changes no match.
 
-Four kinds (email, ip, card, phone) are the base and always stay. The method adds iban, confirmed by mod 97, and
-ssn, which has no checksum and so needs a context word. Null and empty texts have no spans. Every row is a document
-by itself; other columns pass through.
+Four kinds (email, ip, card, phone) are the base and always stay. The method adds iban, confirmed by mod 97; ssn,
+which has no checksum and so needs a context word; and secrets: a value of 16 characters or more, with letters and
+digits, that a word such as token or password is given, and keys known by their form. Null and empty texts have no
+spans. Every row is a document by itself, repeated ones and those without id too; other columns pass through,
+whatever their names, but for `findings`, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Characters on either side of a match in which context words count.
@@ -46,6 +50,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, "phone|call|tel|fax|mobile|anruf", gate="+"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8, "iban|bank|account|konto|cuenta|compte", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security|tax id|sozialvers|seguridad social", base=False, gate="-"),
+    Kind("secret", r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_=-]{16,}+", 0.7, "key|auth|login", base=False),
+    Kind("key", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+)|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0.9, "key|auth|login", base=False),
 )
 _FOUND = "array<struct<start:int,end:int,kind:int,score:double>>"
 
@@ -66,13 +72,13 @@ def _confirmed(kind: Kind, m: Column) -> Column:
         "card": F.call_function("luhn_check", digits),
         "phone": F.length(digits).between(10, 15),
         "iban": _mod97(m),
+        "secret": m.rlike("[=:].*[0-9]") & m.rlike("[=:].*[A-Za-z]"),
         "ssn": ~m.rlike("^(?:000|666|9)|-00-|0000$"),
     }.get(kind.name, F.lit(True))
 
 
-def _spans(k: int, kind: Kind) -> Column:
-    """The confirmed spans of a kind, from its matches _m<k> and the pieces between them _g<k>; _FOUND."""
-    m, g = F.col(f"_m{k}"), F.col(f"_g{k}")
+def _spans(k: int, kind: Kind, m: Column, g: Column) -> Column:
+    """The confirmed spans of a kind, from its matches m and the pieces between them g; _FOUND."""
     left = lambda c: F.left(c, F.lit(CONTEXT_CHARS))
     right = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
     piece = lambda i: F.zip_with(F.slice(g, i + 2, CONTEXT_MATCHES), F.slice(m, i + 2, CONTEXT_MATCHES), lambda p, q: F.concat(left(p), F.coalesce(left(q), F.lit(""))))
@@ -99,15 +105,18 @@ def found_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with findings: array<struct<start int, end int, kind int, score double>>, by start and kind (an index of KINDS)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
+    docs = docs.drop("findings")
+    names = unused(docs.columns, *[f"matches{k}" for k in range(len(KINDS))], *[f"pieces{k}" for k in range(len(KINDS))])
+    m, g = names[: len(KINDS)], names[len(KINDS) :]
     columns = {}
     for k, kind in enumerate(KINDS):
         may = text.rlike(kind.pattern)
         if kind.gate:
             may = text.contains(kind.gate) & may
-        columns[f"_m{k}"] = F.when(may, F.regexp_extract_all(text, F.lit(kind.pattern), 0)).otherwise(none)
-        columns[f"_g{k}"] = F.when(may, F.split(text, kind.pattern, -1)).otherwise(none)
+        columns[m[k]] = F.when(may, F.regexp_extract_all(text, F.lit(kind.pattern), 0)).otherwise(none)
+        columns[g[k]] = F.when(may, F.split(text, kind.pattern, -1)).otherwise(none)
     turned = lambda a, b: lambda s: F.struct(s["start"].alias("start"), s[a].alias(a), s[b].alias(b), s["score"].alias("score"))
-    every = F.concat(*[_spans(k, kind) for k, kind in enumerate(KINDS)])
+    every = F.concat(*[_spans(k, kind, F.col(m[k]), F.col(g[k])) for k, kind in enumerate(KINDS)])
     out = docs.withColumns(columns).withColumn("findings", F.transform(F.array_sort(F.transform(every, turned("kind", "end"))), turned("end", "kind")))
     return out.drop(*columns)
 
@@ -129,5 +138,7 @@ def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(F.col("findings"), begin, step)
-    found = found_pii(docs, text_col=text_col).withColumn("_done", done)
-    return found.withColumn("redacted_text", F.concat(F.col("_done.out"), F.substring(text, F.col("_done.at") + 1, F.length(text)))).drop("_done")
+    found = found_pii(docs, text_col=text_col)
+    (name,) = unused(found.columns, "done")
+    found = found.withColumn(name, done)
+    return found.withColumn("redacted_text", F.concat(F.col(name)["out"], F.substring(text, F.col(name)["at"] + 1, F.length(text)))).drop(name)

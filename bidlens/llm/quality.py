@@ -20,6 +20,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused
 from .scratch import stored
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -46,39 +47,45 @@ FEATURES = {
 }
 
 
+_STEPS = ("words", "lines", "marks", "hashes", "two", "four", "eight", "windows", "sorted", "at")
+
+
 def with_stats(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclaims and n_digits (long)."""
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclaims and n_digits (long)
+    instead of any such columns; others pass through, whatever their names."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims", "n_digits")
+    own = dict(zip(_STEPS, unused(docs.columns, *_STEPS)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.withColumns({
-        "_words": F.array_remove(F.split(text, BLANKS), ""),
-        "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-        "_marks": F.regexp_replace(text, "[^A-Z0-9!?#*$%&|<>]+", ""),
+        own["words"]: F.array_remove(F.split(text, BLANKS), ""),
+        own["lines"]: F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+        own["marks"]: F.regexp_replace(text, "[^A-Z0-9!?#*$%&|<>]+", ""),
     })
-    words, marks = F.col("_words"), F.col("_marks")
+    words, marks = F.col(own["words"]), F.col(own["marks"])
     count = lambda chars: (F.length(marks) - F.length(F.translate(marks, chars, ""))).cast("long")
-    df = df.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn(own["hashes"], F.transform(words, lambda w: F.xxhash64(w)))
     pairs = lambda c, k: F.zip_with(c, F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     # Hashes of 2, 4 and 8 words; the last entries of each meet nulls and are cut off.
-    df = df.withColumn("_two", pairs(F.col("_hashes"), 1)).withColumn("_four", pairs(F.col("_two"), 2)).withColumn("_eight", pairs(F.col("_four"), 4))
-    df = df.withColumn("_windows", F.slice("_eight", F.lit(1), F.greatest(F.size("_eight") - (WINDOW - 1), F.lit(0))))
+    df = df.withColumn(own["two"], pairs(F.col(own["hashes"]), 1)).withColumn(own["four"], pairs(F.col(own["two"]), 2)).withColumn(own["eight"], pairs(F.col(own["four"]), 4))
+    df = df.withColumn(own["windows"], F.slice(own["eight"], F.lit(1), F.greatest(F.size(own["eight"]) - (WINDOW - 1), F.lit(0))))
     # Windows by hash and place: those with a neighbour of the same hash are found twice or more.
-    repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    df = df.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    at = F.transform("_sorted", lambda x, i: F.when((x["h"] == F.get(F.col("_sorted"), i - 1)["h"]) | (x["h"] == F.get(F.col("_sorted"), i + 1)["h"]), x["i"]))
-    df = df.withColumn("_at", F.sort_array(F.filter(at, lambda i: i.isNotNull())))
-    reach = F.zip_with("_at", F.slice("_at", F.lit(2), F.size("_at")), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    repeats = F.size(own["windows"]) > F.size(F.array_distinct(own["windows"]))
+    df = df.withColumn(own["sorted"], F.when(repeats, F.sort_array(F.transform(own["windows"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    at = F.transform(own["sorted"], lambda x, i: F.when((x["h"] == F.get(F.col(own["sorted"]), i - 1)["h"]) | (x["h"] == F.get(F.col(own["sorted"]), i + 1)["h"]), x["i"]))
+    df = df.withColumn(own["at"], F.sort_array(F.filter(at, lambda i: i.isNotNull())))
+    reach = F.zip_with(own["at"], F.slice(own["at"], F.lit(2), F.size(own["at"])), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(reach, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"))
     df = df.withColumns({
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": count("#*$%&|<>"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_lines": F.size(own["lines"]).cast("long"),
+        "n_dup_lines": (F.size(own["lines"]) - F.size(F.array_distinct(own["lines"]))).cast("long"),
         "n_capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_exclaims": count("!?"),
         "n_digits": count("0123456789"),
     })
-    return df.drop("_words", "_lines", "_marks", "_hashes", "_two", "_four", "_eight", "_windows", "_sorted", "_at")
+    return df.drop(*own.values())
 
 
 def base_failed() -> Column:

@@ -57,7 +57,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("findings", lambda s: s["kind"] < 4)
     count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{KINDS[k].name}") for k in range(4)]
-    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"), F.size("findings").cast("long").alias("n_spans"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,8 +151,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the gzip archives under path, as RECORD: one row a segment."""
-    lines = spark.read.text(path, lineSep="\r\n").select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    """Every record of the gzip archives under path, as RECORD: one row a segment. Other files raise, as Spark would split them."""
+    lines = spark.read.text(path, lineSep="\r\n")
+    if other := [f for f in lines.inputFiles() if not f.endswith(".gz")]:
+        raise ValueError(f"not gzip archives: {other[:3]}")
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
     return lines.mapInArrow(_records, RECORD)
 
 

@@ -58,3 +58,11 @@ def test_substrings_edges(spark):
     assert got == sorted([(1, 30, 0), (1, 30, 0), (2, 30, 30), (None, 2, 0), (3, 0, 0), (4, 0, 0)], key=repr)
     assert [s.asDict() for s in deduped_substrings(df).where("doc_id = 2").first().spans] == [{"start": 0, "n": 30}]
     assert deduped_substrings(df.limit(0)).count() == 0
+
+
+def test_line_dedup_with_clashing_names(spark):
+    line = "a line of more than forty characters that five documents hold"
+    rows = [(i, line + "\nown") for i in range(6)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"drop_id": F.lit(1), "Drop_Keys": F.lit("x"), "_drop_keys": F.lit("y"), "keys": F.lit(2), "n_lines": F.lit("z")})
+    got = {r.doc_id: r for r in deduped_lines(df).collect()}
+    assert got[5].n_dropped == 0 and got[0].kept_text == "own" and got[0].drop_id == 1 and got[0]["Drop_Keys"] == "x" and got[None].kept_text == "" and got[None].n_lines == 1

@@ -73,3 +73,9 @@ def test_small_parts(spark):
     assert dechunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc" and dechunked(b"3\r\nab") is None and dechunked(b"zz\r\n") is None and dechunked(b"") is None
     got = spark.createDataFrame([(b"",), (b"\xff\x00",)], "b binary").select("b", base32_sha1(F.col("b")).alias("d")).collect()
     assert all(r.d == digest(bytes(r.b)) for r in got)
+
+
+def test_plain_files_raise(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\n\r\n")
+    with pytest.raises(ValueError):
+        read_records(spark, str(tmp_path))
