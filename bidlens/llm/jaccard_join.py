@@ -11,8 +11,9 @@
 4. Groups whose prefixes share enough tokens meet. Every member of one is a query on the other: its overlap with the
    union bounds its overlap with each member, and only if that leaves a link possible the group is opened to it. Opened
    groups are compared exactly, two rows of the matrix at a time: one link joins two groups.
-5. Each token first offers its smallest group as a hub; then, for some rounds, hubs of other components; then all pairs
-   of groups of different components that share a token meet. Links give the components.
+5. Each token first offers its smallest group as a hub; then all groups of different components that share a token
+   meet: those of a common token by blocks of groups, inside tasks, where bit matrices are multiplied, first of prefixes, then
+   of whole unions, so that pairs never become rows. Links give the components.
 
 Tokens that lie in one component only offer nothing any more, so that groups of copies cost what their documents do
 and not their pairs. Links that change no component are not listed.
@@ -46,8 +47,9 @@ GROUP = 128
 GROUP_TOKENS = 100_000
 #: Offers to a hub that one task meets, on average.
 OFFERS = 64
-#: Further rounds of offers to hubs of other components, before all pairs of groups meet.
-HUB_ROUNDS = 2
+#: Groups that hold a token at most, if they are to meet in pairs of rows; more meet in blocks of about BLOCK_GROUPS.
+LIGHT = 16
+BLOCK_GROUPS = 512
 #: Tokens that a task holds at once while it counts them.
 COUNTED = 1 << 23
 #: Names of sets that a task remembers; forgetting them costs copies, no result.
@@ -272,6 +274,113 @@ def token_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.Reco
     return made
 
 
+def _edges(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Where the runs of equal `names` begin, and the end."""
+    values = [batch.column(n).to_numpy() for n in names]
+    return np.r_[0, np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1, len(batch)]
+
+
+_MEETING = ["token", "i", "j"]
+
+
+def met_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For groups sorted by token, i and j, those of blocks i and j of the token: of these (token, i, j, block, g, component)
+    of the groups that may have a link into another component, by their sizes, their prefixes, and as the token is the
+    first one that their slots share."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, _MEETING):
+            token, i, j, block, g, component, least, lo, hi = (batch.column(x).to_numpy() for x in (*_MEETING, "block", "g", "component", "least", "lo", "hi"))
+            prefix, prefix_at = _values(batch.column("prefix"))
+            slots, slots_at = _values(batch.column("slots"))
+            edges = _edges(batch, _MEETING)
+            kept = np.zeros(len(batch), bool)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                x, y = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
+                if not len(x) or not len(y):
+                    continue
+                u, v = a + x[:, None], a + y[None, :]
+                may = (component[u] != component[v]) & (denominator * hi[u] >= numerator * lo[v]) & (denominator * hi[v] >= numerator * lo[u])
+                if i[a] == j[a]:
+                    may &= g[u] < g[v]
+                if may.any():
+                    own = prefix[prefix_at[a] : prefix_at[b]]
+                    may &= _shared(own, np.repeat(np.arange(b - a), np.diff(prefix_at[a : b + 1])), x, y) >= np.minimum(least[u], least[v])
+                if may.any():
+                    own, of = slots[slots_at[a] : slots_at[b]], np.repeat(np.arange(b - a), np.diff(slots_at[a : b + 1]))
+                    before = np.arange(len(own)) < np.flatnonzero(own == token[a])[of]  # each has the token once
+                    may &= _shared(own[before], of[before], x, y) == 0
+                kept[a + x[may.any(axis=1)]] = True
+                kept[a + y[may.any(axis=0)]] = True
+            yield batch.select([*_MEETING, "block", "g", "component"]).filter(pa.array(kept))
+
+    return found
+
+
+def opened_blocks(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For what met_groups keeps, with the rest of the MATRIX rows: (x, y), groups that links connect, each with the first."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, _MEETING):
+            g, component, held = batch.column("g").to_numpy(), batch.column("component").to_numpy(), batch.column("held")
+            ns, ns_at = _values(batch.column("ns"))
+            union, union_at = _values(batch.column("union"))
+            edges = _edges(batch, _MEETING)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                of = lambda k: (ns[ns_at[a + k] : ns_at[a + k + 1]], union[union_at[a + k] : union_at[a + k + 1]], held[a + k].as_py())  # noqa: B023, E731
+                every = np.arange(b - a)
+                both = _shared(union[union_at[a] : union_at[b]], np.repeat(every, np.diff(union_at[a : b + 1])), every, every)
+                lo = np.array([of(k)[0].min() for k in every])
+                single = np.diff(ns_at[a : b + 1]) == 1
+                apart = component[a:b][:, None] != component[a:b][None, :]
+                links = apart & single[:, None] & single[None, :] & linked(lo[:, None], lo[None, :], both, numerator, denominator)
+                links |= links.T
+                label = _connected(links | np.eye(b - a, dtype=bool))
+                # Groups of several members are opened one by one, unless they are connected by now.
+                may = apart & ~(single[:, None] & single[None, :]) & (both >= needed(np.minimum(lo[:, None], lo[None, :]), numerator, denominator))
+                for p, q in np.argwhere(np.triu(may)).tolist():
+                    if label[p] != label[q] and opened(of(p), of(q), numerator, denominator):
+                        label[label == label[q]] = label[p]
+                join = np.flatnonzero(label != every)
+                yield pa.RecordBatch.from_arrays([pa.array(g[a + join]), pa.array(g[a + label[join]])], names=["x", "y"])
+
+    return found
+
+
+def opened(x: tuple, y: tuple, numerator: int, denominator: int) -> bool:
+    """Whether a link joins two groups, each of sizes, union and bits: y is opened to those members of x whose overlap with
+    its union leaves one possible."""
+    (n, u, held), (m, v, h_held) = x, y
+    _, at, h_at = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    least = needed(n, numerator, denominator)
+    if len(at) < least.min():
+        return False
+    queries = _bits(held, len(n), len(u))[:, at]
+    opens = np.flatnonzero(queries.sum(axis=1, dtype=np.int64) >= least)
+    if not len(opens):
+        return False
+    members = _bits(h_held, len(m), len(v))[:, h_at]
+    return bool(linked(n[opens][:, None], m[None, :], _overlaps(queries[opens], members), numerator, denominator).any())
+
+
+def _shared(tokens: np.ndarray, owner: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many tokens the sets `rows` and the sets `columns` of some owners share."""
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    many = counts > 1
+    number = np.cumsum(many) - 1
+    keep = many[inverse]
+    at, owner = number[inverse[keep]], owner[keep]
+    out, n, size = np.zeros((len(rows), len(columns)), np.float32), int(many.sum()), int(max(rows.max(), columns.max())) + 1
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for lo in range(0, n, _BLOCK):
+        own = slice(*np.searchsorted(at, [lo, lo + _BLOCK]))
+        full = np.zeros((size, min(_BLOCK, n - lo)), np.float32)
+        full[owner[own], at[own] - lo] = 1
+        out += full[rows] @ full[columns].T
+    return out.astype(np.int64)
+
+
 def opened_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For pairs of MATRIX rows, the columns of the second one named h, h_ns, h_union and h_held: (x, y), those groups
     that a link joins. The second group is opened to the members of the first whose overlap with its union leaves a link
@@ -287,17 +396,9 @@ def opened_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.Rec
             held, h_held = batch.column("held"), batch.column("h_held")
             join = np.zeros(len(g), bool)
             for i in range(len(g)):
-                n, m = ns[ns_at[i] : ns_at[i + 1]], h_ns[h_ns_at[i] : h_ns_at[i + 1]]
-                u, v = union[union_at[i] : union_at[i + 1]], h_union[h_union_at[i] : h_union_at[i + 1]]
-                _, at, h_at = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-                least = needed(n, numerator, denominator)
-                if len(at) < least.min():
-                    continue
-                queries = _bits(held[i].as_py(), len(n), len(u))[:, at]
-                opens = np.flatnonzero(queries.sum(axis=1, dtype=np.int64) >= least)
-                if len(opens):
-                    members = _bits(h_held[i].as_py(), len(m), len(v))[:, h_at]
-                    join[i] = linked(n[opens][:, None], m[None, :], _overlaps(queries[opens], members), numerator, denominator).any()
+                x = ns[ns_at[i] : ns_at[i + 1]], union[union_at[i] : union_at[i + 1]], held[i].as_py()
+                y = h_ns[h_ns_at[i] : h_ns_at[i + 1]], h_union[h_union_at[i] : h_union_at[i + 1]], h_held[i].as_py()
+                join[i] = opened(x, y, numerator, denominator)
             yield pa.RecordBatch.from_arrays([pa.array(g[join]), pa.array(h[join])], names=["x", "y"])
 
     return found
@@ -376,48 +477,51 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counts = every.groupBy("token").agg(F.count("*").alias("m"), F.min("g").alias("hub")).where("m > 1")
     own = every.join(counts, "token").groupBy("g", "least").agg(F.sort_array(F.collect_list(F.struct("m", "token", "hub"))).alias("q")).where(F.size("q") >= F.col("least"))
     rare = F.slice("q", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int"))
-    slots = stored(own.select("g", F.array_max("q.m").alias("most"), F.explode(rare).alias("s")).select("g", "most", "s.token", "s.hub"), "jaccard_slots")
+    own = stored(own.select("g", F.array_max("q.m").alias("most"), rare.alias("slots")), "jaccard_slots")
+    slots = own.select("g", "most", F.explode("slots").alias("s")).select("g", "most", "s.token", "s.hub")
 
     def joined(pairs: DataFrame) -> DataFrame:
         """Of the pairs (g, h, most) of groups those that a link joins, as x and y. A group that `most` others may meet is
         copied, so that no task gets them all."""
         parts = F.ceil(F.col("most") / OFFERS).cast("int")
         pairs = pairs.select("g", "h", F.pmod(F.xxhash64("g"), parts).cast("int").alias("part"), parts.alias("parts")).distinct()
-        pairs = stored(pairs, "jaccard_met")
         copies = pairs.groupBy("h").agg(F.max("parts").alias("parts")).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         right = matrix.select(F.col("g").alias("h"), F.col("ns").alias("h_ns"), F.col("union").alias("h_union"), F.col("held").alias("h_held"))
-        right = copies.join(right, "h")
-        both = pairs.select("g", "h", "part").join(matrix.select("g", "ns", "union", "held"), "g").join(right, ["h", "part"])
-        out = stored(both.mapInArrow(opened_groups(numerator, denominator), "x long, y long"), "jaccard_links")
-        dropped(pairs)
-        return out
-
-    def spread(links: DataFrame) -> DataFrame:
-        """Slots with their component, of tokens that lie in two components or more, with one group in each of the outermost two."""
-        part = components(links, "x", "y").withColumnsRenamed({"node": "g"})
-        placed = slots.join(part, "g", "left").select("g", "most", "token", F.coalesce("component", "g").alias("component"))
-        at = F.struct("component", "g", "most")
-        split = placed.groupBy("token").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.component <> hi.component")
-        return stored(placed.join(split, "token"), "jaccard_across")
-
-    most = slots.groupBy(F.col("g").alias("hub")).agg(F.first("most").alias("most"))
-    links = joined(slots.where("g <> hub").select("g", "hub").distinct().join(most, "hub").select("g", F.col("hub").alias("h"), "most"))
-    across = spread(links)
-    for _ in range(HUB_ROUNDS):
-        if across.isEmpty():
-            break
-        other = F.explode(F.array("lo", "hi"))
-        new = joined(across.select("g", "component", other.alias("o")).where("component <> o.component").select("g", F.col("o.g").alias("h"), "o.most"))
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        dropped(across)
-        across = spread(links)
-    if not across.isEmpty():
-        other = across.select("token", F.col("g").alias("h"), F.col("component").alias("h_component"), "most")
-        met = across.select("token", "g", "component").join(other, "token").where("g < h AND component <> h_component")
-        links = links.unionByName(joined(met.select("g", "h", "most")))
-    dropped(across, slots)
+        both = pairs.select("g", "h", "part").join(matrix.select("g", "ns", "union", "held"), "g").join(copies.join(right, "h"), ["h", "part"])
+        return stored(both.mapInArrow(opened_groups(numerator, denominator), "x long, y long"), "jaccard_links")
+
+    most = own.select(F.col("g").alias("hub"), "most")
+    offers = stored(slots.where("g <> hub").select("g", "hub").distinct().join(most, "hub").select("g", F.col("hub").alias("h"), "most"), "jaccard_offers")
+    links = joined(offers)
+
+    # Groups of different components, by the tokens of their slots that lie in several.
+    part = components(links, "x", "y").withColumnsRenamed({"node": "g"})
+    placed = stored(slots.join(part, "g", "left").select("g", "most", "token", F.coalesce("component", "g").alias("component")), "jaccard_placed")
+    held = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("g")).alias("a"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("b"))
+    held = stored(held.where("lo <> hi").select("token", "m", "a", "b"), "jaccard_held")
+    brief = matrix.select("g", "least", F.array_min("ns").alias("lo"), F.array_max("ns").alias("hi"), "prefix")
+    alike = lambda x, y: (denominator * F.col(f"{x}hi") >= numerator * F.col(f"{y}lo")) & (denominator * F.col(f"{y}hi") >= numerator * F.col(f"{x}lo"))
+
+    light = placed.join(held.where(F.col("m") <= LIGHT).select("token"), "token").select("token", "g", "component", "most")
+    other = light.select("token", F.col("g").alias("h"), F.col("component").alias("h_component"), F.col("most").alias("h_most"))
+    met = light.join(other, "token").where("g < h AND component <> h_component").select("g", "h", F.col("h_most").alias("most")).distinct()
+    met = met.join(offers.select(F.col("h").alias("g"), F.col("g").alias("h")), ["g", "h"], "left_anti")
+    both = met.join(brief, "g").join(brief.select(*[F.col(c).alias(f"h_{c}") for c in brief.columns]).withColumnRenamed("h_g", "h"), "h")
+    near = both.where(alike("", "h_") & (F.size(F.array_intersect("prefix", "h_prefix")) >= F.least("least", "h_least"))).select("g", "h", "most")
+
+    # A token that many groups hold deals them into blocks, and a task meets two blocks. Of tokens that the same groups
+    # hold one is enough.
+    heavy = held.where(F.col("m") > LIGHT).groupBy("m", "a", "b").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK_GROUPS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("block"), x).alias("i"), F.greatest(F.col("block"), x).alias("j")))
+    dealt = placed.join(heavy, "token").withColumn("block", block).withColumn("pair", F.explode(pair)).join(brief, "g").join(own.select("g", F.col("slots.token").alias("slots")), "g")
+    dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "prefix", "slots")
+    in_meetings = lambda df: df.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
+    crowd = stored(in_meetings(dealt).mapInArrow(met_groups(numerator, denominator), "token long, i int, j int, block int, g long, component long"), "jaccard_crowd")
+    more = in_meetings(crowd.join(matrix.select("g", "ns", "union", "held"), "g")).mapInArrow(opened_blocks(numerator, denominator), "x long, y long")
+    met = stored(near, "jaccard_met")
+    links = links.unionByName(joined(met)).unionByName(stored(more, "jaccard_links"))
+    dropped(offers, own, met, crowd)
 
     # Back to every document: its group, its set, and the rows that share its id.
     grouped = matrix.select("g", F.explode("ids").alias("first"))
@@ -426,7 +530,7 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = classes.join(grouped, "first", "left").select("a", "b", "n", F.coalesce("component", "first").alias("component"))
     rows = known.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     rows = stored(rows, "jaccard_classes")
-    dropped(first, matrix)
+    dropped(first, matrix, placed, held)
     shared = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("hi")).where("x <> hi").select("id", "x")
     more = stored(rows.join(shared, "id").select("x", F.col("component").alias("y")).where("x <> y").distinct(), "jaccard_shared_ids")
     if not more.isEmpty():
