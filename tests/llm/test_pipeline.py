@@ -53,7 +53,7 @@ def test_stages_like_brute_force(spark):
 def odd_documents(spark):
     body = " ".join(f"word{i} the of" for i in range(40))
     line = "a line that is longer than forty characters by far"
-    rows = [(i, f"{line}\n{body} number{i} {i} ends", "en") for i in range(6)] + [(20, "Les mots de la langue " * 20, "fr")] * 2
+    rows = [(i, f"{line}\n{body} number{i} {i} ends", "en") for i in range(6)] + [(20, "Les mots de la langue " * 2000, "fr")] * 2
     rows += [(None, None, None), (30, None, "en"), (31, "", None), (32, "12 34 !!", "en"), (None, f"{body} nobody", None), (33, "слово язык речь письмо " * 30, None), (34, "x " * 70_000 + "the end", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long"))
     names = ["gone_id", "copy", "likeness", "drop_keys", "drop_id", "matches0", "id", "Score_", "component"]
