@@ -66,6 +66,11 @@ def display_name(name: Column, email: Column) -> Column:
     return F.coalesce(non_empty(name), non_empty(email), F.lit("(unnamed contact)"))
 
 
+def reachable(email: Column, phone: Column) -> Column:
+    """Whether a contact has an address or a number."""
+    return non_empty(email).isNotNull() | non_empty(phone).isNotNull()
+
+
 def notice_reference(raw: Column) -> Column:
     """struct(notice_id, link, error) of a pasted notice link or bare id."""
     text = stripped(F.coalesce(raw, F.lit("")))

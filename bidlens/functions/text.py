@@ -62,6 +62,13 @@ def query_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(word_tokens(c), lambda t: ~F.array_contains(stop, t))
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<token, n>> of an array's distinct values: it is sorted once, and a run begins where its neighbour differs."""
+    ordered = F.transform(F.array(F.sort_array(tokens)), lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x.alias("token"), F.when((i == 0) | (x != F.get(s, F.greatest(i - 1, F.lit(0)))), i).alias("at"))), lambda r: r["at"].isNotNull()))
+    runs = F.transform(ordered, lambda r: F.zip_with(r, F.slice(r, F.lit(2), F.size(r)), lambda a, b: F.struct(a["token"].alias("token"), (F.coalesce(b["at"], F.size(tokens)) - a["at"]).cast("long").alias("n"))))
+    return F.get(runs, F.lit(0))
+
+
 def sentences(c: Column) -> Column:
     """Split after . ! or ? where white space and a capital or digit follow."""
     return F.filter(F.transform(F.split(c, V.SENTENCE_GAP), stripped), lambda s: s != "")

@@ -128,6 +128,14 @@ CITATION = r"\[(?:KB(?:\s+style)?|Solicitation)[^\]]*\]"
 NO_COMPANY = r"title page|volume|technical proposal|to:|subj:|ref:"
 LEGAL_FORMS = r"LLC|L\.L\.C\.|INC|CORP|LTD"
 
+# Queries that find what a solicitation demands.
+COMPLIANCE_QUERIES = [
+    "Section L instructions to offerors proposal submission requirements format page limit",
+    "Section M evaluation criteria factors basis for award technical evaluation",
+    "the contractor shall perform mandatory tasks requirements deliverables",
+    "offeror must submit provide required documentation certifications registration",
+]
+
 # Statuses of a requirement and the least similarity for each.
 STATUSES = ["Addressed", "Partial", "Not Addressed"]
 ADDRESSED, PARTIAL = 0.58, 0.45

@@ -1,18 +1,30 @@
-"""Hashed bag-of-words vectors as sparse rows, and cosine searches over them.
+"""Hashed bag-of-words vectors, and cosine searches over them.
 
-An embedding is rows (id, dim, w) with unit length for each id. Other backends can be put in the place of `hashed` if they
-return such rows; `signature` tells indexes of different backends apart.
+An embedding is a row (id, v) for each text, v its non-zero dimensions as array<struct<dim, w>> with unit length, ordered by
+dim; empty where the text has no token. It is worked out within the row, without a shuffle. Other backends can be put in
+the place of `Hashed` if they return such rows; `signature` tells indexes of different backends apart.
+
+Searches send the queries to the items, a block of queries at a time: a block's matrix is broadcast, tasks multiply it
+with their items by batches and keep the k best of each query, and only these are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import embed_tokens
 
+#: Queries in a block, and items that a task multiplies at once.
+BLOCK = 2048
+BATCH = 256
+
 
 class Backend(Protocol):
     dimension: int
@@ -36,20 +48,103 @@ class Hashed:
         return f"hashing:{self.dimension}"
 
     def embed(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """id, dim, w. Texts without a token have no rows. Counting pre-aggregates within a task, where all of a text's tokens are."""
-        tokens = texts.select(F.col(id_col).alias("id"), F.explode(embed_tokens(F.col(text_col))).alias("token"))
-        counts = tokens.groupBy("id", "token").agg(F.count("*").alias("n")).withColumn("h", F.md5(F.col("token")))
-        sign = F.when(_number(F.col("h"), 9) % 2 == 1, 1.0).otherwise(-1.0)
-        raw = counts.select("id", (_number(F.col("h"), 7, 5, 3, 1) % self.dimension).cast("int").alias("dim"), (sign * (1 + F.ln("n"))).alias("w"))
-        summed = raw.repartition("id").groupBy("id", "dim").agg(F.sum("w").alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-        return summed.withColumn("norm", norm).select("id", "dim", F.when(F.col("norm") == 0, 0.0).otherwise(F.col("w") / F.col("norm")).alias("w"))
-
-
-def cosines(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """q, id and score of the pairs that share a dimension. Queries are a set of bounded number; their rows meet the items' on dim."""
-    q = queries.select(F.col("id").alias("q"), "dim", F.col("w").alias("q_w"))
-    return items.join(q, "dim").groupBy("q", "id").agg(F.round(F.sum(F.col("w") * F.col("q_w")), 6).alias("score"))
+        """id and v of every text. Tokens are sorted within the row, runs of equal ones counted, and dimensions summed alike."""
+        df = texts.select(F.col(id_col).alias("id"), F.sort_array(embed_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tokens"))
+        df = df.withColumn("starts", _starts("tokens", lambda x: x))
+        counted = F.zip_with("starts", F.slice("starts", F.lit(2), F.size("starts")), lambda a, b: F.struct(F.md5(F.get("tokens", a)).alias("h"), (F.coalesce(b, F.size("tokens")) - a).alias("n")))
+        weighed = F.transform(counted, lambda x: F.struct((_number(x["h"], 7, 5, 3, 1) % self.dimension).cast("int").alias("dim"), (F.when(_number(x["h"], 9) % 2 == 1, 1.0).otherwise(-1.0) * (1 + F.ln(x["n"]))).alias("w")))
+        df = df.select("id", F.sort_array(weighed).alias("terms"))
+        df = df.withColumn("starts", _starts("terms", lambda x: x["dim"]))
+        total = lambda a, n: F.aggregate(F.slice("terms", a + 1, n), F.lit(0.0), lambda acc, x: acc + x["w"])
+        summed = F.zip_with("starts", F.slice("starts", F.lit(2), F.size("starts")), lambda a, b: F.struct(F.get("terms", a)["dim"].alias("dim"), total(a, F.coalesce(b, F.size("terms")) - a).alias("w")))
+        df = df.select("id", summed.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])))
+        unit = F.transform("v", lambda x: F.struct(x["dim"].alias("dim"), F.when(F.col("norm") == 0, 0.0).otherwise(x["w"] / F.col("norm")).alias("w")))
+        return df.select("id", unit.alias("v"))
+
+
+def _starts(column: str, key) -> Column:
+    """The places of a sorted array at which a new key begins."""
+    places = F.when(F.size(column) > 0, F.sequence(F.lit(0), F.size(column) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.filter(places, lambda i: (i == 0) | (key(F.get(column, i)) != key(F.get(column, F.greatest(i - 1, F.lit(0))))))
+
+
+def _matrix(vectors: pa.ListArray, dimension: int) -> np.ndarray:
+    """Rows of numbers, or of struct<dim, w>, as a dense matrix."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0), np.int64)
+    inner = vectors.flatten()
+    out = np.zeros((len(vectors), dimension))
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    if pa.types.is_struct(inner.type):
+        out[row, inner.field("dim").to_numpy()] = inner.field("w").to_numpy()
+    else:
+        out[row, np.arange(len(inner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = inner.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows without a length are not a number."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores of each row and their ids, ties by id."""
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=-1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(np.broadcast_to(ids, scores.shape), order, 1)
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int = 5, *, dimension: int, digits: int = 6, least: float | None = None, others: bool = False, normed: bool = True, sharing: bool = False) -> DataFrame:
+    """q, id, score and rank of the k items (id, v) with the highest cosine to each query (id, v), ties by id.
+
+    Ids are whole numbers. An item has the score 0 if it shares nothing with the query, -1 if the cosine is not a number; with
+    `sharing`, only items that share a dimension count; with `others`, an item is not compared with the query of its own
+    id. Vectors that are not `normed` are brought to unit length. A column `bonus` of items is added to their scores.
+    `least` is applied to the k best. Queries go in blocks, each a pass over the items: pass a written table of items where
+    there may be several.
+    """
+    spark = items.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    own = [c for c in ("id", "v", "bonus") if c in items.columns]
+    slim = items.select(*own)
+
+    def search(block: pa.Table) -> DataFrame:
+        block = block.combine_chunks()
+        q_ids = block["id"].to_numpy().astype(np.int64)
+        q = _matrix(block["v"].combine_chunks() if len(block) else pa.array([], block.schema.field("v").type), dimension)
+        sent = spark.sparkContext.broadcast((q_ids, q if normed else _units(q)))
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            top = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                for at in range(0, len(batch), BATCH):
+                    part = batch.slice(at, BATCH)
+                    ids = part.column("id").to_numpy().astype(np.int64)
+                    m = _matrix(part.column("v"), dimension)
+                    scores = q @ (m if normed else _units(m)).T
+                    scores = np.where(np.isnan(scores), -1.0, np.round(scores, digits) + 0.0)
+                    if "bonus" in own:
+                        scores = np.round(scores + part.column("bonus").to_numpy(), digits)
+                    if sharing:
+                        scores[((q != 0).astype(np.float32) @ (m != 0).astype(np.float32).T) == 0] = -np.inf
+                    if others:
+                        scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                    new = _best(scores, ids, k)
+                    both = np.hstack([top[0], new[0]]), np.hstack([top[1], new[1]])
+                    order = np.lexsort((both[1], -both[0]), axis=-1)[:, :k]
+                    top = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
+            keep = np.isfinite(top[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(axis=1))), pa.array(top[1][keep]), pa.array(top[0][keep])], names=["q", "id", "score"])
+
+        return slim.mapInArrow(found, "q long, id long, score double")
+
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow()
+        out = search(part) if out is None else out.unionByName(search(part))
+    top = ranked(out, k)
+    return top if least is None else top.where(F.col("score") >= least)
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -58,27 +153,6 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= (k or 5))
 
 
-def nearest(queries: DataFrame, items: DataFrame, query_ids: DataFrame, item_ids: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
-    """q, id, score and rank of the k nearest items of each query, those that share nothing with score 0; `least` is applied afterwards.
-
-    Only queries with fewer than k positive items meet all items.
-    """
-    scores = cosines(queries, items)
-    positive = scores.where("score > 0")
-    enough = positive.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("q")
-    short = query_ids.select(F.col("id").alias("q")).join(enough, "q", "left_anti")
-    padded = short.crossJoin(item_ids.select("id")).join(scores, ["q", "id"], "left").select("q", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    top = ranked(positive.join(enough, "q", "left_semi").unionByName(padded), k)
-    return top if least is None else top.where(F.col("score") >= least)
-
-
 def relevance(best: DataFrame, n: int = 3) -> DataFrame:
     """q and the mean of its n best scores, over as many as there are."""
     return best.where(F.col("rank") <= n).groupBy("q").agg(F.round(F.avg("score"), 6).alias("relevance"), F.count("*").alias("n_evidence"))
-
-
-def dense_cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays; -1 where it is not a number."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    c = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.when(F.isnan(c) | c.isNull(), -1.0).otherwise(c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -45,28 +45,20 @@ def query_candidates(docs: DataFrame, id_col: str, text_col: str, *, hints: list
     return kept.select("term", "kind", "df", "tf", "capability", F.round(score, 6).alias("score"), "first")
 
 
-#: Candidates that the greedy choice looks at; phrases that add a token are far more frequent than that.
-LOOKED_AT = 5000
+def chosen_queries(candidates: DataFrame, most: int = 6) -> list[Row]:
+    """Candidates (term, kind, score) in order, without those whose words earlier ones already cover.
 
-
-def chosen_queries(candidates: DataFrame, most: int = 6) -> list[str]:
-    """Candidates in order, without those whose words earlier ones already cover. Streams from the top and stops at `most`."""
-    order = [F.desc("score"), "kind", "first", "term"]
-    chosen: list[str] = []
+    The candidates are sorted once and come to the driver as a stream, which ends at `most`: a partition at a time, and most
+    phrases add a word."""
+    chosen: list[Row] = []
     covered: set[str] = set()
-    start = 0
-    while len(chosen) < most:
-        block = candidates.orderBy(*order).offset(start).limit(LOOKED_AT).select("term").collect()
-        for r in block:
-            words = set(r.term.split())
-            if not words <= covered:
-                chosen.append(r.term)
-                covered |= words
-                if len(chosen) == most:
-                    break
-        if len(block) < LOOKED_AT:
-            break
-        start += LOOKED_AT
+    for r in candidates.orderBy(F.desc("score"), "kind", "first", "term").select("term", "kind", "score").toLocalIterator():
+        words = set(r.term.split())
+        if not words <= covered:
+            chosen.append(r)
+            covered |= words
+            if len(chosen) == most:
+                break
     return chosen
 
 

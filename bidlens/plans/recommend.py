@@ -10,11 +10,17 @@ from ..functions.normalize import agency, days_left, deadline_key, office
 from ..functions.text import non_empty
 from ..operators import embedding as E
 from ..operators.search import has_all_terms
+from ..storage import stored
 
 #: Below this many candidates (or twice the number asked for) the industry filter is given up.
 LEAST_CANDIDATES = 8
 
 
+def all_queries(phrases: list[str], broad: list[str]) -> list[str]:
+    """Phrase queries and the broad terms that are not among them, in order."""
+    return list(dict.fromkeys([*phrases, *broad]))
+
+
 def candidates(notices: DataFrame, queries: list[str], firm_naics: list[str], top_k: int) -> DataFrame:
     """Each notice that a query matches, once, with the sorted queries that match it; in the firm's industries, unless these have too few."""
     hits = [F.when(has_all_terms(F.col("title"), F.lit(q)), q) for q in sorted(set(queries))]
@@ -24,22 +30,27 @@ def candidates(notices: DataFrame, queries: list[str], firm_naics: list[str], to
     return matched if few or not firm_naics else own
 
 
-def recommended(notices: DataFrame, library: DataFrame, *, queries: list[str], firm_naics: list[str], as_of: str, top_k: int = 5, backend: E.Backend | None = None) -> DataFrame:
-    """notice_id, score, matched, evidence (document ids of the three nearest documents) and why, in order.
+def recommended(notices: DataFrame, chunks: DataFrame, *, queries: list[str], firm_naics: list[str], as_of: str, top_k: int = 5, backend: E.Backend | None = None) -> DataFrame:
+    """notice_id, score, matched, evidence (numbers of the three nearest chunks) and why, in order.
 
-    All candidates are embedded and scored in one plan, each once.
+    `chunks` has chunk_no (a whole number that names a chunk), doc_id and text. Candidates and chunks are embedded once each,
+    as written tables; notices have a whole number notice_no.
     """
     backend = backend or E.Hashed()
     found = candidates(notices, queries, firm_naics, top_k)
     text = F.concat_ws(" ", *[non_empty(F.col(c)) for c in ("title", "naics", "set_aside")], office(F.col("path")), agency(F.col("path")))
-    found = found.withColumn("text", text)
-    near = E.nearest(backend.embed(found, "notice_id", "text"), backend.embed(library, "doc_id", "text"), found.select(F.col("notice_id").alias("id")), library.select(F.col("doc_id").alias("id")), 3)
-    scored = near.groupBy("q").agg(F.avg("score").alias("relevance"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("evidence"))
-    joined = found.join(scored, found["notice_id"] == scored["q"], "left")
+    found = stored(found.withColumn("text", text), "candidates")
+    items = stored(backend.embed(chunks, "chunk_no", "text"), "chunk_vectors")
+    near = E.nearest(backend.embed(found, "notice_no", "text"), items, 3, dimension=backend.dimension)
+    of = chunks.select(F.col("chunk_no").alias("c_no"), F.col("doc_id").alias("c_doc"))
+    near = near.join(of, near["id"] == of["c_no"], "left")
+    scored = near.groupBy("q").agg(F.avg("score").alias("relevance"), F.sort_array(F.collect_list(F.struct("rank", "id", "c_doc"))).alias("e"))
+    joined = found.join(scored, found["notice_no"] == scored["q"], "left").withColumn("evidence", F.transform("e", lambda x: x["id"]))
     own = F.col("naics").isin(*firm_naics) if firm_naics else F.lit(False)
     score = F.coalesce("relevance", F.lit(0.0)) + V.QUERY_BONUS * (F.size("matched") - 1) + F.when(own, V.NAICS_BONUS).otherwise(0.0)
     days = days_left(F.col("deadline").cast("timestamp"), F.lit(as_of).cast("timestamp"))
     quoted = F.array_join(F.transform(F.slice("matched", 1, 3), lambda q: F.concat(F.lit("“"), q, F.lit("”"))), ", ")
-    why = F.concat(F.concat_ws("; ", F.when(F.size("evidence") > 0, F.concat(F.lit("Matches your work in document "), F.get("evidence", F.lit(0)).cast("string"))), F.concat(F.lit("surfaced by "), quoted), F.when(own, F.concat(F.lit("in your NAICS "), F.col("naics")))), F.lit("."))
+    document = F.get("e", F.lit(0))["c_doc"].cast("string")
+    why = F.concat(F.concat_ws("; ", F.concat(F.lit("Matches your work in document "), document), F.concat(F.lit("surfaced by "), quoted), F.when(own, F.concat(F.lit("in your NAICS "), F.col("naics")))), F.lit("."))
     ranked = joined.select("notice_id", F.round(score, 6).alias("score"), "matched", "evidence", why.alias("why"), deadline_key(days).alias("deadline_key"))
     return ranked.orderBy(F.desc("score"), "deadline_key", "notice_id").limit(top_k)

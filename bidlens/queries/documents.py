@@ -44,8 +44,8 @@ def doc_type_rules(spark, d):
 
 @query(f"SELECT doc_id, token, count(*)::bigint AS n FROM (SELECT doc_id, unnest({_EMBED}) AS token FROM documents) GROUP BY ALL")
 def doc_token_counts(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(T.embed_tokens(F.col("text"))).alias("token"))
-    return tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    """Counted within each row, whose tokens are all at hand."""
+    return table(spark, d, "documents").select("doc_id", F.explode_outer(T.counted(T.embed_tokens(F.col("text")))).alias("c")).where("c IS NOT NULL").select("doc_id", "c.token", "c.n")
 
 
 @query(f"SELECT term, count(DISTINCT doc_id)::bigint AS df, count(*)::bigint AS tf FROM (SELECT doc_id, unnest({_QUERY}) AS term FROM documents) GROUP BY term")
@@ -81,8 +81,7 @@ def query_candidates_ranked(spark, d):
 def generated_queries(spark, d):
     """The greedy choice; its rows are few whatever the input, its work is the candidates'."""
     found = mining.query_candidates(table(spark, d, "documents"), "doc_id", "text", hints=HINTS, stopwords=STOP)
-    chosen = mining.chosen_queries(found)
-    return found.where(F.col("term").isin(*chosen)).select("term", "kind", "score")
+    return spark.createDataFrame(mining.chosen_queries(found), "term string, kind int, score double")
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents) SELECT term, count(DISTINCT doc_id)::bigint AS df, count(*)::bigint AS tf FROM t WHERE list_contains({_sql_list(HINTS)}, term) GROUP BY term ORDER BY df DESC, tf DESC, min((doc_id, pos)), term LIMIT 3")
@@ -127,17 +126,21 @@ def document_chunks(spark, d):
     return chunking.chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ordinal", "section", F.length("text").alias("n_chars"), "chunk_id")
 
 
-@query("SELECT doc_id, NOT contains(trim(text), chr(10)) AND length(trim(text)) BETWEEN 3 AND 90 AND NOT regexp_matches(trim(text), '[.!?,;]$') AS short_line FROM documents WHERE length(trim(text)) < 3 OR length(trim(text)) > 90 OR contains(trim(text), chr(10)) OR regexp_matches(trim(text), '[.!?,;]$')")
+_HEADING = r"""SELECT {key}, length(s) BETWEEN 3 AND 90 AND NOT contains(s, chr(10)) AND (starts_with(s, '#') OR (NOT regexp_matches(s, '[.!?,;]$')
+AND (regexp_matches(s, '^(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]\s+') OR (len(w) <= 12 AND ((letters > 0 AND capitals >= 0.6 * letters) OR (len(w) > 1 AND titled >= 0.7 * len(w))))))) AS {out}
+FROM (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) AS titled FROM (SELECT *, regexp_extract_all(s, '\S+') AS w, len(regexp_extract_all(s, '\p{{L}}')) AS letters, len(regexp_extract_all(s, '\p{{Lu}}')) AS capitals FROM ({source})))"""
+_LINES = "SELECT doc_id, pos::int AS pos, trim(line, chr(9) || chr(11) || chr(12) || chr(13) || chr(32)) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
+
+
+@query(_HEADING.format(key="doc_id", out="heading", source="SELECT doc_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32)) AS s FROM documents"))
 def headings(spark, d):
-    """Texts that by their form are no heading, whatever their words."""
-    t = F.trim("text")
-    no = (F.length(t) < 3) | (F.length(t) > 90) | t.contains("\n") | t.rlike("[.!?,;]$")
-    return table(spark, d, "documents").where(no & ~t.startswith("#")).select("doc_id", T.is_heading(F.col("text")).alias("short_line"))
+    """Whether a document's whole text is a heading."""
+    return table(spark, d, "documents").select("doc_id", T.is_heading(F.col("text")).alias("heading"))
 
 
-@query()
+@query(_HEADING.format(key="doc_id, pos", out="heading", source=_LINES))
 def heading_lines(spark, d):
-    """Every line of every document, and whether the whole heading rule holds for it."""
+    """Every line of every document, and whether it is a heading."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc_id", "pos", T.is_heading(F.col("line")).alias("heading"))
 

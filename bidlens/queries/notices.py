@@ -105,24 +105,21 @@ def address_line(spark, d):
     return joined.select("c_custkey", N.one_line(F.col("c_name"), F.col("n_name"), F.col("r_name"), segment).alias("address"))
 
 
-@query("SELECT c_nationkey, arg_min(c_custkey, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS contact, arg_min(c_name, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS display FROM customer WHERE c_custkey <= 500 GROUP BY c_nationkey")
-def contact_primary(spark, d):
-    """A nation's contacts are its customers of low number, in order; those of one segment are primary."""
-    kind = F.when(F.col("c_mktsegment") == "BUILDING", "Primary").otherwise("secondary")
-    people = table(spark, d, "customer").where("c_custkey <= 500").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.col("c_name").alias("name"), kind.alias("type")))).alias("poc"))
-    first = N.primary(F.col("poc"))
-    return people.select("c_nationkey", first["c_custkey"].alias("contact"), N.display_name(first["name"], F.lit(None).cast("string")).alias("display"))
-
-
 @query("SELECT c_nationkey, arg_min(c_custkey, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS contact, arg_min(c_name, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS display FROM customer GROUP BY c_nationkey")
-def contact_primary_all(spark, d):
-    """contact_primary over all customers: the least of each nation, without a list of its people."""
+def contact_primary(spark, d):
+    """A nation's contacts are its customers, those of one segment primary: the least of each nation, without a list of its people."""
     secondary = F.col("c_mktsegment").eqNullSafe("BUILDING") == F.lit(False)
     first = F.min_by(F.struct("c_custkey", F.col("c_name").alias("name")), F.struct(secondary.alias("secondary"), "c_custkey"))
     people = table(spark, d, "customer").groupBy("c_nationkey").agg(first.alias("first"))
     return people.select("c_nationkey", F.col("first.c_custkey").alias("contact"), N.display_name(F.col("first.name"), F.lit(None).cast("string")).alias("display"))
 
 
+@query("SELECT c_nationkey, arg_min(c_custkey, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS contact, arg_min(c_name, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey)) AS display FROM customer GROUP BY c_nationkey")
+def contact_primary_all(spark, d):
+    """The same, by its former name."""
+    return contact_primary(spark, d)
+
+
 @query(r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ID' || page_id WHEN page_id % 3 = 1 THEN page_id::varchar END AS notice_id, CASE WHEN page_id % 3 = 2 THEN 'no_id_in_link' END AS error FROM pages")
 def reference_parse(spark, d):
     k = F.col("page_id")
@@ -190,11 +187,11 @@ def link_record_parse(spark, d):
     )
 
 
-@query("SELECT o_orderkey, l_linenumber AS position, CASE WHEN l_linenumber % 2 = 0 THEN 'https://files.example/' || l_partkey || '/download' ELSE 'link-' || l_suppkey END AS url FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 25 WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, l_linenumber AS position, CASE WHEN l_linenumber % 2 = 0 THEN 'https://files.example/' || l_partkey || '/download' ELSE 'link-' || l_suppkey END AS url FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def attachments_listing(spark, d):
-    """An order's attachments are its large lines; orders without any stay with nulls."""
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
-    items = table(spark, d, "lineitem").where("l_quantity > 25")
+    """An order's attachments are its lines; orders without any stay with nulls."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    items = table(spark, d, "lineitem")
     grouped = items.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("position"), "l_partkey", "l_suppkey")).alias("files"))
     listed = o.join(grouped, o.o_orderkey == grouped.l_orderkey, "left").select("o_orderkey", F.explode_outer("files").alias("f"))
     url = F.when(F.col("f.position") % 2 == 0, F.concat(F.lit("https://files.example/"), F.col("f.l_partkey").cast("string"), F.lit("/download"))).otherwise(F.concat(F.lit("link-"), F.col("f.l_suppkey").cast("string")))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import embedding as E
 from ..operators import mining
+from ..operators import knowledge as K
 from ..operators import requirements as R
-from ..plans.recommend import recommended
+from ..plans.recommend import all_queries, recommended
 from ..registry import query
-from ..sources.tables import library, notices, table
+from ..sources.tables import notices, table
 from .documents import _EMBED, HINTS, STOP
 
 
@@ -32,13 +33,12 @@ _BOTH = f"WITH {_vectors('dv', 'documents', 'doc_id')}, {_vectors('qv', 'benchma
 
 @query(f"WITH {_vectors('dv', 'documents', 'doc_id', 256)} SELECT id, dim, round(w, 6) AS w FROM dv")
 def hash_embed_sparse(spark, d):
-    return E.Hashed(256).embed(table(spark, d, "documents"), "doc_id", "text").withColumn("w", F.round("w", 6))
+    return E.Hashed(256).embed(table(spark, d, "documents"), "doc_id", "text").select("id", F.explode_outer("v").alias("x")).where("x IS NOT NULL").select("id", "x.dim", F.round("x.w", 6).alias("w"))
 
 
-def _search(spark, d, docs, k):
+def _search(spark, d, docs, k, **how):
     backend = E.Hashed()
-    queries = table(spark, d, "benchmark")
-    return E.nearest(backend.embed(queries, "item_id", "text"), backend.embed(docs, "doc_id", "text"), queries.select(F.col("item_id").alias("id")), docs.select(F.col("doc_id").alias("id")), k)
+    return E.nearest(backend.embed(table(spark, d, "benchmark"), "item_id", "text"), backend.embed(docs, "doc_id", "text"), k, dimension=backend.dimension, **how)
 
 
 @query(f"{_BOTH}, {_nearest('doc_id', 5)} SELECT q, id, score, rank::int AS rank FROM n")
@@ -64,27 +64,22 @@ def relevance_mean3(spark, d):
 
 @query("SELECT q, id, round(score, 5) AS score FROM (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 5) DESC, id) <= 5")
 def dense_cosine_topk(spark, d):
-    """The query set is every fiftieth vector; it is broadcast, and each item meets it where it lies."""
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("q_e"))
-    pairs = v.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("id"), F.round(E.dense_cosine(F.col("q_e"), F.col("embedding")), 5).alias("score"))
-    return E.ranked(pairs, 5).drop("rank")
+    """The query set is every fiftieth vector, in blocks."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    dimension = v.agg(F.max(F.size("v"))).first()[0] or 1
+    return E.nearest(v.where("id % 50 = 0"), v, 5, dimension=dimension, digits=5, others=True, normed=False).drop("rank")
 
 
-@query(f"""WITH {_vectors('qv', 'benchmark', 'item_id')}, secs AS (SELECT doc_id, text FROM documents WHERE source = 'src4'), {_vectors('dv', 'secs', 'doc_id')},
-p AS (SELECT b.item_id AS q, d.doc_id AS section, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN secs d LEFT JOIN (SELECT qv.id AS q, dv.id AS id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (dim) GROUP BY ALL) s ON s.q = b.item_id AND s.id = d.doc_id)
-SELECT q, section, score, CASE WHEN score >= {V.ADDRESSED} THEN 'Addressed' WHEN score >= {V.PARTIAL} THEN 'Partial' ELSE 'Not Addressed' END AS status FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, section) = 1""")
+@query(f"""{_BOTH}, {_nearest('doc_id', 1)} SELECT q, id AS section, score, CASE WHEN score >= {V.ADDRESSED} THEN 'Addressed' WHEN score >= {V.PARTIAL} THEN 'Partial' ELSE 'Not Addressed' END AS status FROM n""")
 def requirement_section_map(spark, d):
-    backend = E.Hashed()
-    items, sections = table(spark, d, "benchmark"), table(spark, d, "documents").where("source = 'src4'")
-    best = E.nearest(backend.embed(items, "item_id", "text"), backend.embed(sections, "doc_id", "text"), items.select(F.col("item_id").alias("id")), sections.select(F.col("doc_id").alias("id")), 1)
-    return R.mapped(best.select("q", "id", "score"))
+    """The best of all sections for each requirement."""
+    return R.mapped(_search(spark, d, table(spark, d, "documents"), 1).select("q", "id", "score"))
 
 
 @query(f"""{_BOTH}, {_nearest('doc_id', 1)} SELECT q, id AS section, score, CASE WHEN score >= {V.ADDRESSED} THEN 'Addressed' WHEN score >= {V.PARTIAL} THEN 'Partial' ELSE 'Not Addressed' END AS status FROM n""")
 def requirement_section_map_all(spark, d):
-    """requirement_section_map over the sections of all sources."""
-    return R.mapped(_search(spark, d, table(spark, d, "documents"), 1).select("q", "id", "score"))
+    """The same, by its former name."""
+    return requirement_section_map(spark, d)
 
 
 @query("SELECT s AS status, (SELECT count(*) FROM labels WHERE (quality = 1 AND s = 'Addressed') OR (quality = 0 AND s = 'Not Addressed'))::bigint AS n FROM (VALUES ('Addressed'), ('Partial'), ('Not Addressed')) t(s)")
@@ -95,19 +90,23 @@ def status_counts_zero_filled(spark, d):
 
 @query()
 def recommend_ranked(spark, d):
-    """Notices ranked by their likeness to the library. Candidates come from the mined queries and, since the benchmark's
-    titles share no word with its documents, from two words of titles."""
-    mined = mining.chosen_queries(mining.query_candidates(table(spark, d, "documents"), "doc_id", "text", hints=HINTS, stopwords=STOP))
-    return recommended(notices(spark, d), library(spark, d), queries=[*mined, "0001", "0012"], firm_naics=["BUILDING"], as_of="2000-07-01 00:00:00", top_k=20)
+    """Notices ranked by their likeness to the library's chunks. Candidates come from the mined queries, the broad terms and,
+    since the benchmark's titles share no word with its documents, from two words of titles."""
+    docs = table(spark, d, "documents")
+    mined = mining.chosen_queries(mining.query_candidates(docs, "doc_id", "text", hints=HINTS, stopwords=STOP))
+    broad = mining.broad_terms(docs, "doc_id", "text", hints=HINTS).select("term").collect()
+    asked = all_queries([r.term for r in mined], [*(r.term for r in broad), "0001", "0012"])
+    return recommended(notices(spark, d), K.numbered_chunks(docs), queries=asked, firm_naics=["BUILDING"], as_of="2000-07-01 00:00:00", top_k=20)
 
 
 @query(f"""WITH {_vectors('qv', 'benchmark', 'item_id')}, {_vectors('dv', 'documents', 'doc_id')}, s AS (SELECT qv.id AS q, dv.id AS id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (dim) GROUP BY ALL),
 x AS (SELECT q, id, round(score + CASE WHEN source = 'src1' THEN {V.HEADING_BONUS} ELSE 0 END + CASE WHEN doc_id % 10 = 0 THEN {V.TEMPLATE_BONUS} ELSE 0 END, 6) AS score FROM s JOIN documents ON doc_id = id)
 SELECT q, id, score, (row_number() OVER (PARTITION BY q ORDER BY score DESC, id))::int AS rank FROM x QUALIFY rank <= 4""")
 def style_rerank(spark, d):
-    """Searches ranked anew: a fitting heading and the template document are worth more."""
+    """Searches ranked anew: a fitting heading and the template document are worth more. Only what shares a dimension counts."""
     backend = E.Hashed()
-    scores = E.cosines(backend.embed(table(spark, d, "benchmark"), "item_id", "text"), backend.embed(table(spark, d, "documents"), "doc_id", "text"))
-    docs = library(spark, d).select("doc_id", "category")
-    bonus = F.when(F.col("category") == "src1", V.HEADING_BONUS).otherwise(0.0) + F.when(F.col("doc_id") % 10 == 0, V.TEMPLATE_BONUS).otherwise(0.0)
-    return E.ranked(scores.join(docs, scores["id"] == docs["doc_id"]).select("q", "id", F.round(F.col("score") + bonus, 6).alias("score")), 4)
+    docs = table(spark, d, "documents")
+    bonus = F.when(F.col("source") == "src1", V.HEADING_BONUS).otherwise(0.0) + F.when(F.col("doc_id") % 10 == 0, V.TEMPLATE_BONUS).otherwise(0.0)
+    both = docs.select("doc_id", F.struct("text", bonus.alias("bonus")).alias("of"))
+    items = backend.embed(both.select(F.struct("doc_id", "of.bonus").alias("key"), "of.text"), "key", "text").select(F.col("id.doc_id").alias("id"), "v", "id.bonus")
+    return E.nearest(backend.embed(table(spark, d, "benchmark"), "item_id", "text"), items, 4, dimension=backend.dimension, sharing=True)

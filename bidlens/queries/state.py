@@ -111,8 +111,8 @@ def outreach_text(spark, d):
 
 @query("SELECT conv_id, count(*)::bigint AS sections, bool_or(role = 'user') AS has_user, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)::bigint AS replies FROM conversations GROUP BY conv_id")
 def section_counts(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("s"))
-    return c.select("conv_id", F.size("s").cast("long").alias("sections"), F.exists("s", lambda x: x["role"] == "user").alias("has_user"), F.size(F.filter("s", lambda x: x["role"] == "assistant")).cast("long").alias("replies"))
+    role = F.col("role")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("sections"), F.bool_or(role == "user").alias("has_user"), F.count_if(role == "assistant").alias("replies"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'edited' ELSE role END AS role FROM conversations")

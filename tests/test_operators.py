@@ -41,25 +41,22 @@ def test_mining(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = mining.query_candidates(df, "doc_id", "text")
     chosen = mining.chosen_queries(found, 2)
-    assert chosen[0] == "power line" and "construction" in chosen[1]
+    assert chosen[0].term == "power line" and "construction" in chosen[1].term
     assert mining.chosen_queries(mining.query_candidates(df.limit(0), "doc_id", "text")) == []
     assert [r.term for r in mining.broad_terms(df, "doc_id", "text").collect()] == ["power", "line", "construction"]
     one = spark.createDataFrame([(1, "alpha beta alpha beta")], "doc_id int, text string")
-    assert mining.chosen_queries(mining.query_candidates(one, "doc_id", "text"), 6)[0] in ("alpha beta", "beta alpha")
+    assert mining.chosen_queries(mining.query_candidates(one, "doc_id", "text"), 6)[0].term in ("alpha beta", "beta alpha")
 
 
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, "power power line"), (2, "the a"), (3, "line power power"), (4, "pump")], "id int, text string")
     backend = embedding.Hashed(64)
     vectors = backend.embed(df, "id", "text")
-    norms = {r.id: r.s for r in vectors.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()}
-    assert set(norms) == {1, 3, 4} and all(abs(s - 1) < 1e-9 for s in norms.values())
+    norms = {r.id: sum(x.w * x.w for x in r.v) for r in vectors.collect()}
+    assert set(norms) == {1, 2, 3, 4} and norms[2] == 0 and all(abs(norms[i] - 1) < 1e-9 for i in (1, 3, 4))
     q = spark.createDataFrame([(9, "power line"), (8, "zzz unknown")], "id int, text string")
-    top = embedding.nearest(backend.embed(q, "id", "text"), vectors, q.select("id"), df.select("id"), 3).orderBy("q", "rank").collect()
+    top = embedding.nearest(backend.embed(q, "id", "text"), vectors, 3, dimension=64).orderBy("q", "rank").collect()
     assert [r.id for r in top if r.q == 9][:2] == [1, 3] and len([r for r in top if r.q == 8]) == 3
-    c = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<double>, b array<double>")
-    got = [r[0] for r in c.select(embedding.dense_cosine(F.col("a"), F.col("b"))).collect()]
-    assert got[0] == -1.0 and abs(got[1] - 1) < 1e-12
 
 
 def test_requirement_matrix_caps_before_it_sorts(spark):
