@@ -66,3 +66,15 @@ def test_line_dedup_with_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"drop_id": F.lit(1), "Drop_Keys": F.lit("x"), "_drop_keys": F.lit("y"), "keys": F.lit(2), "n_lines": F.lit("z")})
     got = {r.doc_id: r for r in deduped_lines(df).collect()}
     assert got[5].n_dropped == 0 and got[0].kept_text == "own" and got[0].drop_id == 1 and got[0]["Drop_Keys"] == "x" and got[None].kept_text == "" and got[None].n_lines == 1
+
+
+def test_chains_compact_over_joins(spark):
+    """A long passage that repeats is one span of its source; a branch within another one parts it."""
+    from bidlens.llm.substring_dedup import chains
+
+    rows = [(i, i - 1 or None, i + 1 if i < 40 else None, 7, 1, 3 * i, 3) for i in range(1, 41)]
+    rows += [(100, None, 101, 7, 1, 200, 2), (101, 100, None, 7, 1, 202, 2), (102, 101, None, 8, 1, 204, 2), (200, None, 201, 9, 1, 0, 1), (201, 200, None, 9, 1, 5, 1), (300, None, None, None, 1, 0, 4)]
+    df = spark.createDataFrame(rows, "key long, before long, after long, id long, th long, lo int, n int").repartition(3)
+    want = [(7, 1, 3, 120), (7, 1, 200, 4), (8, 1, 204, 2), (9, 1, 0, 1), (9, 1, 5, 1), (None, 1, 0, 4)]
+    assert sorted((tuple(r) for r in chains(df).collect()), key=repr) == sorted(want, key=repr)
+    assert chains(df.limit(0)).count() == 0
