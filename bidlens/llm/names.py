@@ -14,3 +14,10 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def aside(columns: Iterable[str], *names: str) -> dict[str, str]:
+    """A new name for each column whose name, whatever its case, is one of these."""
+    columns = list(columns)
+    clash = [c for c in columns if c.lower() in names]
+    return dict(zip(clash, unused([*columns, *names], *clash)))

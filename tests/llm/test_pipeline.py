@@ -56,7 +56,7 @@ def odd_documents(spark):
     rows = [(i, f"{line}\n{body} number{i} {i} ends", "en") for i in range(6)] + [(20, "Les mots de la langue " * 2000, "fr")] * 2
     rows += [(None, None, None), (30, None, "en"), (31, "", None), (32, "12 34 !!", "en"), (None, f"{body} nobody", None), (33, "слово язык речь письмо " * 30, None), (34, "x " * 70_000 + "the end", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long"))
-    names = ["gone_id", "copy", "likeness", "drop_keys", "drop_id", "matches0", "id", "Score_", "component"]
+    names = ["gone_id", "copy", "likeness", "drop_keys", "drop_id", "matches0", "id", "Score", "lang_pred", "kept_text", "n_lines", "component"]
     return df.withColumns({n: F.lit(n) for n in names})
 
 
@@ -65,14 +65,14 @@ def test_stages_on_odd_rows(spark):
     kept = cp.stored(cp.language(spark, docs, SF), "odd")
     got = kept.collect()
     assert kept.columns == docs.columns and {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 20, None, 34}
-    assert {r.lang for r in got} == {"en", "fr"} and all(r.copy == "copy" and r.likeness == "likeness" for r in got)
+    assert {r.lang for r in got} == {"en", "fr"} and all(r.copy == "copy" and r.likeness == "likeness" and r["Score"] == "Score" and r.lang_pred == "lang_pred" for r in got)
     assert [r.lang for r in got if r.doc_id is None] == ["en"]  # a null label is filled in
     for stage in (cp.lines, cp.near_duplicates, cp.decontamination):
         out = stage(spark, docs, SF)
         rows = out.collect()
-        assert out.columns == docs.columns and all(r.gone_id == "gone_id" and r.drop_keys == "drop_keys" and r.component == "component" for r in rows)
+        assert out.columns == docs.columns and all(r.gone_id == "gone_id" and r.drop_keys == "drop_keys" and r.component == "component" and r.kept_text == "kept_text" and r.n_lines == "n_lines" for r in rows)
         if stage is cp.near_duplicates:
-            assert sorted((r.doc_id for r in rows), key=repr) == sorted([0, 20, 30, 31, 32, 33, 34, None], key=repr)
+            assert sorted((r.doc_id for r in rows), key=repr) == sorted([0, 20, 30, 31, 32, 33, 34, None, None], key=repr)
         else:
             assert len(rows) == docs.count()
         assert stage(spark, docs.limit(0), SF).count() == 0
