@@ -11,7 +11,7 @@ from bidlens.llm.decontaminate import clean_documents
 from bidlens.llm.jaccard_join import document_classes
 from bidlens.llm.langid import BUCKETS, fitted, with_language
 from bidlens.llm.line_dedup import deduped_lines
-from bidlens.llm.names import unused
+from bidlens.llm.names import aside, unused
 from bidlens.llm.packing import packed_documents
 from bidlens.llm.queries import tokenizer_files
 from bidlens.llm.scratch import dropped, stored
@@ -30,24 +30,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     in their best language, and those between languages. Rows are independent: repeated ones and those without id are
     judged alike. An empty table stays empty; further columns pass through, whatever their names."""
     importable(spark)
-    (likeness,) = unused(docs.columns, "likeness")
-    known = with_language(docs.drop("lang_pred", "score"), fitted(docs), likeness=likeness)
+    moved = aside(docs.columns, "lang_pred", "score")
+    (likeness,) = unused([*docs.columns, *moved.values()], "likeness")
+    known = with_language(docs.withColumnsRenamed(moved), fitted(docs), likeness=likeness)
     kept = known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col(likeness) >= LEAST_LIKENESS))
-    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return kept.select(*[F.col("lang_pred" if c == "lang" else moved.get(c, c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many other documents hold; no document goes. Null texts become empty ones; of rows that
     share the largest id all keep a line. An empty table stays empty; further columns pass through, whatever their names."""
     importable(spark)
-    kept = deduped_lines(docs)
-    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    moved = aside(docs.columns, "kept_text", "n_lines", "n_dropped")
+    kept = deduped_lines(docs.withColumnsRenamed(moved)).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
+    return kept.select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group at Jaccard similarity 0.8 on five-word shingles. Null and empty texts
-    are near nothing. Rows alike in id and text stay once; rows without an id stay unless a document with an id is near.
-    An empty table stays empty; further columns pass through, whatever their names."""
+    are near nothing. Rows alike in id and text stay once; rows without an id stay unless a document with an id has the same
+    shingles. An empty table stays empty; further columns pass through, whatever their names."""
     importable(spark)
     gone_id, copy = unused(docs.columns, "gone_id", "copy")
     classes = stored(document_classes(docs, k=5, numerator=80), "classes")
