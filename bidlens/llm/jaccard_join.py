@@ -285,14 +285,13 @@ _MEETING = ["token", "i", "j"]
 
 def met_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For groups sorted by token, i and j, those of blocks i and j of the token: of these (token, i, j, block, g, component)
-    of the groups that may have a link into another component, by their sizes, their prefixes, and as the token is the
-    first one that their slots share."""
+    of the groups that may have a link into another component, by their sizes, the tokens q that they have in common
+    with others, and as the token is the first one that the two share."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, _MEETING):
             token, i, j, block, g, component, least, lo, hi = (batch.column(x).to_numpy() for x in (*_MEETING, "block", "g", "component", "least", "lo", "hi"))
-            prefix, prefix_at = _values(batch.column("prefix"))
-            slots, slots_at = _values(batch.column("slots"))
+            q, q_at = _values(batch.column("q"))
             edges = _edges(batch, _MEETING)
             kept = np.zeros(len(batch), bool)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -304,10 +303,9 @@ def met_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.Record
                 if i[a] == j[a]:
                     may &= g[u] < g[v]
                 if may.any():
-                    own = prefix[prefix_at[a] : prefix_at[b]]
-                    may &= _shared(own, np.repeat(np.arange(b - a), np.diff(prefix_at[a : b + 1])), x, y) >= np.minimum(least[u], least[v])
+                    own, of = q[q_at[a] : q_at[b]], np.repeat(np.arange(b - a), np.diff(q_at[a : b + 1]))
+                    may &= _shared(own, of, x, y) >= np.minimum(least[u], least[v])
                 if may.any():
-                    own, of = slots[slots_at[a] : slots_at[b]], np.repeat(np.arange(b - a), np.diff(slots_at[a : b + 1]))
                     before = np.arange(len(own)) < np.flatnonzero(own == token[a])[of]  # each has the token once
                     may &= _shared(own[before], of[before], x, y) == 0
                 kept[a + x[may.any(axis=1)]] = True
@@ -476,9 +474,8 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every = matrix.select("g", "least", F.explode("prefix").alias("token"))
     counts = every.groupBy("token").agg(F.count("*").alias("m"), F.min("g").alias("hub")).where("m > 1")
     own = every.join(counts, "token").groupBy("g", "least").agg(F.sort_array(F.collect_list(F.struct("m", "token", "hub"))).alias("q")).where(F.size("q") >= F.col("least"))
-    rare = F.slice("q", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int"))
-    own = stored(own.select("g", F.array_max("q.m").alias("most"), rare.alias("slots")), "jaccard_slots")
-    slots = own.select("g", "most", F.explode("slots").alias("s")).select("g", "most", "s.token", "s.hub")
+    own = stored(own.select("g", "least", F.array_max("q.m").alias("most"), F.col("q.token").alias("q"), F.slice("q.hub", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int")).alias("hubs")), "jaccard_slots")
+    slots = own.select("g", "most", F.explode(F.zip_with("hubs", F.slice("q", F.lit(1), F.size("hubs")), lambda hub, token: F.struct(token.alias("token"), hub.alias("hub")))).alias("s")).select("g", "most", "s.token", "s.hub")
 
     def joined(pairs: DataFrame) -> DataFrame:
         """Of the pairs (g, h, most) of groups those that a link joins, as x and y. A group that `most` others may meet is
@@ -499,7 +496,7 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = stored(slots.join(part, "g", "left").select("g", "most", "token", F.coalesce("component", "g").alias("component")), "jaccard_placed")
     held = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("g")).alias("a"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("b"))
     held = stored(held.where("lo <> hi").select("token", "m", "a", "b"), "jaccard_held")
-    brief = matrix.select("g", "least", F.array_min("ns").alias("lo"), F.array_max("ns").alias("hi"), "prefix")
+    brief = own.select("g", "least", "q").join(matrix.select("g", F.array_min("ns").alias("lo"), F.array_max("ns").alias("hi")), "g")
     alike = lambda x, y: (denominator * F.col(f"{x}hi") >= numerator * F.col(f"{y}lo")) & (denominator * F.col(f"{y}hi") >= numerator * F.col(f"{x}lo"))
 
     light = placed.join(held.where(F.col("m") <= LIGHT).select("token"), "token").select("token", "g", "component", "most")
@@ -507,15 +504,15 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = light.join(other, "token").where("g < h AND component <> h_component").select("g", "h", F.col("h_most").alias("most")).distinct()
     met = met.join(offers.select(F.col("h").alias("g"), F.col("g").alias("h")), ["g", "h"], "left_anti")
     both = met.join(brief, "g").join(brief.select(*[F.col(c).alias(f"h_{c}") for c in brief.columns]).withColumnRenamed("h_g", "h"), "h")
-    near = both.where(alike("", "h_") & (F.size(F.array_intersect("prefix", "h_prefix")) >= F.least("least", "h_least"))).select("g", "h", "most")
+    near = both.where(alike("", "h_") & (F.size(F.array_intersect("q", "h_q")) >= F.least("least", "h_least"))).select("g", "h", "most")
 
     # A token that many groups hold deals them into blocks, and a task meets two blocks. Of tokens that the same groups
     # hold one is enough.
     heavy = held.where(F.col("m") > LIGHT).groupBy("m", "a", "b").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK_GROUPS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("block"), x).alias("i"), F.greatest(F.col("block"), x).alias("j")))
-    dealt = placed.join(heavy, "token").withColumn("block", block).withColumn("pair", F.explode(pair)).join(brief, "g").join(own.select("g", F.col("slots.token").alias("slots")), "g")
-    dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "prefix", "slots")
+    dealt = placed.join(heavy, "token").withColumn("block", block).withColumn("pair", F.explode(pair)).join(brief, "g")
+    dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "q")
     in_meetings = lambda df: df.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
     crowd = stored(in_meetings(dealt).mapInArrow(met_groups(numerator, denominator), "token long, i int, j int, block int, g long, component long"), "jaccard_crowd")
     more = in_meetings(crowd.join(matrix.select("g", "ns", "union", "held"), "g")).mapInArrow(opened_blocks(numerator, denominator), "x long, y long")
