@@ -94,6 +94,14 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_kd_sharding": op10_kd_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -130,4 +139,12 @@ WITH d AS ({_shingled("documents", "doc_id", 5)}), b AS ({_shingled("benchmark",
 ds AS (SELECT doc_id, unnest(s) AS g FROM d), bs AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b)
 SELECT doc_id, item_id, count(*) / n::double AS containment, n::bigint AS n_item_shingles
 FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, n HAVING 10 * count(*) >= 8 * n""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label END AS label, list_transform(embedding::double[], lambda x: floor(256 * x)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::double[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::bigint AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id)::int AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM n WHERE rank <= 3""",
 }
