@@ -102,6 +102,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("id") % 50 == 0)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import aligned_documents
+
+    a, ranks = tokenizer_files()
+    out = aligned_documents(_documents(spark, sf_dir), a, public_tokenizers.path("piece_bpe_32k.model"), ranks, keep_groups=False)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -114,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_kd_sharding": op10_kd_sharding,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
