@@ -1,15 +1,19 @@
 """Hashed bag-of-words vectors, and cosine searches over them.
 
 An embedding is a row (id, v) for each text, v its non-zero dimensions as array<struct<dim, w>> with unit length, ordered by
-dim; empty where the text has no token. It is worked out within the row, without a shuffle. Other backends can be put in
+dim; empty where the text has no token. It is worked out within Arrow batches, without a shuffle. Other backends can be put in
 the place of `Hashed` if they return such rows; `signature` tells indexes of different backends apart.
 
-Searches send the queries to the items, a block of queries at a time: a block's matrix is broadcast, tasks multiply it
-with their items by batches and keep the k best of each query, and only these are shuffled.
+Searches deal queries and items to blocks and multiply pairs of blocks inside tasks, which keep the k best of each query; only
+these are shuffled on.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -19,11 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import embed_tokens
+from pyspark.sql import types as T
 
-#: Queries in a block, and items that a task multiplies at once.
-BLOCK = 2048
-BATCH = 256
+from ..functions import vocabulary as V
+from ..storage import stored
+from .blocks import BATCH, crossed
+
+#: Tokens whose hashes a Python worker keeps; the cache is emptied when full.
+CACHED_TOKENS = 300_000
+_TOKEN = re.compile("[A-Za-z0-9]{2,}")
 
 
 class Backend(Protocol):
@@ -34,8 +42,39 @@ class Backend(Protocol):
     def signature(self) -> str: ...
 
 
-def _number(token_md5: Column, *digits: int) -> Column:
-    return F.conv(F.concat(*[F.substring(token_md5, d, 2) for d in digits]), 16, 10).cast("long")
+class _Hashes(dict):
+    """Of a token the first four bytes of its MD5, little-endian, and its sign by the fifth."""
+
+    def __missing__(self, token: str) -> tuple[int, float]:
+        if len(self) >= CACHED_TOKENS:
+            self.clear()
+        h = hashlib.md5(token.encode(), usedforsecurity=False).digest()
+        value = self[token] = int.from_bytes(h[:4], "little"), 1.0 if h[4] % 2 else -1.0
+        return value
+
+
+_hashes, _stop = _Hashes(), frozenset(V.EMBED_STOPWORDS)
+
+
+def _vectors(texts: list[str | None], dimension: int) -> pa.Array:
+    """Each text's v. What falls on one dimension is summed in ascending order."""
+    row, dim, w = [], [], []
+    for i, text in enumerate(texts):
+        for token, n in Counter(_TOKEN.findall(text.lower()) if text and text.isascii() else [t.lower() for t in _TOKEN.findall(text or "")]).items():
+            if token not in _stop:
+                h, sign = _hashes[token]
+                row.append(i)
+                dim.append(h % dimension)
+                w.append(sign * (1 + math.log(n)))
+    row, dim, w = np.array(row, np.int64), np.array(dim, np.int64), np.array(w, float)
+    order = np.lexsort((w, dim, row))
+    row, dim, w = row[order], dim[order], w[order]
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (dim[1:] != dim[:-1])]) if len(row) else np.zeros(0, np.int64)
+    row, dim, w = row[starts], dim[starts], np.add.reduceat(w, starts) if len(starts) else w
+    norm = np.sqrt(np.bincount(row, w * w, len(texts)))[row]
+    w = np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)
+    parts = pa.StructArray.from_arrays([pa.array(dim.astype(np.int32)), pa.array(w)], names=["dim", "w"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), parts)
 
 
 class Hashed:
@@ -48,24 +87,15 @@ class Hashed:
         return f"hashing:{self.dimension}"
 
     def embed(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """id and v of every text. Tokens are sorted within the row, runs of equal ones counted, and dimensions summed alike."""
-        df = texts.select(F.col(id_col).alias("id"), F.sort_array(embed_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tokens"))
-        df = df.withColumn("starts", _starts("tokens", lambda x: x))
-        counted = F.zip_with("starts", F.slice("starts", F.lit(2), F.size("starts")), lambda a, b: F.struct(F.md5(F.get("tokens", a)).alias("h"), (F.coalesce(b, F.size("tokens")) - a).alias("n")))
-        weighed = F.transform(counted, lambda x: F.struct((_number(x["h"], 7, 5, 3, 1) % self.dimension).cast("int").alias("dim"), (F.when(_number(x["h"], 9) % 2 == 1, 1.0).otherwise(-1.0) * (1 + F.ln(x["n"]))).alias("w")))
-        df = df.select("id", F.sort_array(weighed).alias("terms"))
-        df = df.withColumn("starts", _starts("terms", lambda x: x["dim"]))
-        total = lambda a, n: F.aggregate(F.slice("terms", a + 1, n), F.lit(0.0), lambda acc, x: acc + x["w"])
-        summed = F.zip_with("starts", F.slice("starts", F.lit(2), F.size("starts")), lambda a, b: F.struct(F.get("terms", a)["dim"].alias("dim"), total(a, F.coalesce(b, F.size("terms")) - a).alias("w")))
-        df = df.select("id", summed.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])))
-        unit = F.transform("v", lambda x: F.struct(x["dim"].alias("dim"), F.when(F.col("norm") == 0, 0.0).otherwise(x["w"] / F.col("norm")).alias("w")))
-        return df.select("id", unit.alias("v"))
-
-
-def _starts(column: str, key) -> Column:
-    """The places of a sorted array at which a new key begins."""
-    places = F.when(F.size(column) > 0, F.sequence(F.lit(0), F.size(column) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.filter(places, lambda i: (i == 0) | (key(F.get(column, i)) != key(F.get(column, F.greatest(i - 1, F.lit(0))))))
+        """id and v of every text; a null one is empty."""
+        slim, dimension = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), self.dimension
+
+        def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _vectors(batch.column(1).to_pylist(), dimension)], names=["id", "v"])
+
+        v = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("w", T.DoubleType())])
+        return slim.mapInArrow(embedded, T.StructType([slim.schema.fields[0], T.StructField("v", T.ArrayType(v))]))
 
 
 def _matrix(vectors: pa.ListArray, dimension: int) -> np.ndarray:
@@ -87,62 +117,60 @@ def _units(m: np.ndarray) -> np.ndarray:
         return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best scores of each row and their ids, ties by id."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=-1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(np.broadcast_to(ids, scores.shape), order, 1)
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best finite scores of each row, ties by column; scores are used up."""
+    every, rows, cols = np.arange(len(scores)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _ in range(min(k, scores.shape[1])):
+        best = scores.argmax(axis=1)
+        there = np.flatnonzero(scores[every, best] > -np.inf)
+        if not len(there):
+            break
+        rows.append(there)
+        cols.append(best[there])
+        scores[there, best[there]] = -np.inf
+    return np.concatenate(rows), np.concatenate(cols)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int = 5, *, dimension: int, digits: int = 6, least: float | None = None, others: bool = False, normed: bool = True, sharing: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int = 5, *, dimension: int, digits: int = 6, least: float | None = None, others: bool = False, normed: bool = True, sharing: bool = False, **blocks: int) -> DataFrame:
     """q, id, score and rank of the k items (id, v) with the highest cosine to each query (id, v), ties by id.
 
-    Ids are whole numbers. An item has the score 0 if it shares nothing with the query, -1 if the cosine is not a number; with
-    `sharing`, only items that share a dimension count; with `others`, an item is not compared with the query of its own
+    Ids can be of any type that sorts, one of each. An item has the score 0 if it shares nothing with the query, -1 if the cosine is not a
+    number; with `sharing`, only items that share a dimension count; with `others`, an item is not compared with the query of its own
     id. Vectors that are not `normed` are brought to unit length. A column `bonus` of items is added to their scores.
-    `least` is applied to the k best. Queries go in blocks, each a pass over the items: pass a written table of items where
-    there may be several.
+    `least` is applied to the k best. Both sides are stored, since they are counted and read; `blocks` are sizes that `crossed` takes.
     """
-    spark = items.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
     own = [c for c in ("id", "v", "bonus") if c in items.columns]
-    slim = items.select(*own)
 
-    def search(block: pa.Table) -> DataFrame:
-        block = block.combine_chunks()
-        q_ids = block["id"].to_numpy().astype(np.int64)
-        q = _matrix(block["v"].combine_chunks() if len(block) else pa.array([], block.schema.field("v").type), dimension)
-        sent = spark.sparkContext.broadcast((q_ids, q if normed else _units(q)))
-
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = sent.value
-            top = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for at in range(0, len(batch), BATCH):
-                    part = batch.slice(at, BATCH)
-                    ids = part.column("id").to_numpy().astype(np.int64)
-                    m = _matrix(part.column("v"), dimension)
-                    scores = q @ (m if normed else _units(m)).T
-                    scores = np.where(np.isnan(scores), -1.0, np.round(scores, digits) + 0.0)
-                    if "bonus" in own:
-                        scores = np.round(scores + part.column("bonus").to_numpy(), digits)
-                    if sharing:
-                        scores[((q != 0).astype(np.float32) @ (m != 0).astype(np.float32).T) == 0] = -np.inf
-                    if others:
-                        scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                    new = _best(scores, ids, k)
-                    both = np.hstack([top[0], new[0]]), np.hstack([top[1], new[1]])
-                    order = np.lexsort((both[1], -both[0]), axis=-1)[:, :k]
-                    top = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
-            keep = np.isfinite(top[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(axis=1))), pa.array(top[1][keep]), pa.array(top[0][keep])], names=["q", "id", "score"])
-
-        return slim.mapInArrow(found, "q long, id long, score double")
-
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow()
-        out = search(part) if out is None else out.unionByName(search(part))
+    def found(q: pa.Table, x: pa.Table) -> pa.Table:
+        x = x.take(pc.sort_indices(x["id"]))
+        lists = lambda t: t["v"].combine_chunks() if len(t) else pa.array([], t.schema.field("v").type)
+        v = lists(x)
+        own_place = pc.index_in(q["id"], x["id"]).combine_chunks().fill_null(-1).to_numpy() if others else None
+        bonus = x["bonus"].to_numpy() if "bonus" in own else None
+        m = _matrix(lists(q), dimension)
+        m = m if normed else _units(m)
+        parts = []
+        for at in range(0, len(x), BATCH):
+            n = _matrix(v.slice(at, BATCH), dimension)
+            scores = m @ (n if normed else _units(n)).T
+            scores = np.where(np.isnan(scores), -1.0, np.round(scores, digits) + 0.0)
+            if bonus is not None:
+                scores = np.round(scores + bonus[at : at + BATCH], digits)
+            if sharing:
+                scores[((m != 0).astype(np.float32) @ (n != 0).astype(np.float32).T) == 0] = -np.inf
+            if others:
+                here = np.flatnonzero((own_place >= at) & (own_place < at + len(n)))
+                scores[here, own_place[here] - at] = -np.inf
+            r, c = _best(scores.copy(), k)
+            parts.append((r, scores[r, c], at + c))
+        r, scores, place = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.lexsort((place, -scores, r))
+        r, scores, place = r[order], scores[order], place[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return pa.table({"q": q["id"].take(pa.array(r[keep])), "id": x["id"].take(pa.array(place[keep])), "score": pa.array(scores[keep])})
+
+    kinds = dict(queries.dtypes)["id"], dict(items.dtypes)["id"]
+    out = crossed(stored(queries.select("id", "v"), "queries"), stored(items.select(*own), "items"), found, f"q {kinds[0]}, id {kinds[1]}, score double", **blocks)
     top = ranked(out, k)
     return top if least is None else top.where(F.col("score") >= least)
 

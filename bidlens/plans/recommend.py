@@ -33,15 +33,14 @@ def candidates(notices: DataFrame, queries: list[str], firm_naics: list[str], to
 def recommended(notices: DataFrame, chunks: DataFrame, *, queries: list[str], firm_naics: list[str], as_of: str, top_k: int = 5, backend: E.Backend | None = None) -> DataFrame:
     """notice_id, score, matched, evidence (numbers of the three nearest chunks) and why, in order.
 
-    `chunks` has chunk_no (a whole number that names a chunk), doc_id and text. Candidates and chunks are embedded once each,
-    as written tables; notices have a whole number notice_no.
+    `chunks` has chunk_no (a whole number that names a chunk), doc_id and text. Candidates and chunks are embedded once each;
+    notices have a whole number notice_no.
     """
     backend = backend or E.Hashed()
     found = candidates(notices, queries, firm_naics, top_k)
     text = F.concat_ws(" ", *[non_empty(F.col(c)) for c in ("title", "naics", "set_aside")], office(F.col("path")), agency(F.col("path")))
     found = stored(found.withColumn("text", text), "candidates")
-    items = stored(backend.embed(chunks, "chunk_no", "text"), "chunk_vectors")
-    near = E.nearest(backend.embed(found, "notice_no", "text"), items, 3, dimension=backend.dimension)
+    near = E.nearest(backend.embed(found, "notice_no", "text"), backend.embed(chunks, "chunk_no", "text"), 3, dimension=backend.dimension)
     of = chunks.select(F.col("chunk_no").alias("c_no"), F.col("doc_id").alias("c_doc"))
     near = near.join(of, near["id"] == of["c_no"], "left")
     scored = near.groupBy("q").agg(F.avg("score").alias("relevance"), F.sort_array(F.collect_list(F.struct("rank", "id", "c_doc"))).alias("e"))

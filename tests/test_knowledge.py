@@ -113,9 +113,22 @@ def test_nearest_like_brute_force(spark):
     for q in range(9):
         best = sorted((-cosine(vectors[q], v), i) for i, v in vectors.items() if i != q)[:4]
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    small = E.nearest(df.where("id < 9"), df, 4, dimension=3, digits=5, others=True, normed=False, query_rows=4, item_rows=7)
+    assert sorted(map(tuple, small.collect())) == sorted((q, i, s, k) for q, rows in got.items() for k, i, s in rows)  # many blocks
     assert E.nearest(df.limit(0), df, 4, dimension=3).count() == 0 and E.nearest(df, df.limit(0), 4, dimension=3).count() == 0
 
 
+def test_chunks_of_very_large_document_numbers(spark):
+    df = spark.createDataFrame([(2**62, "a.txt", "General", "Some words about generators. " * 40), (-(2**62), "b.txt", "General", "Others about roads. " * 40)], "doc_id long, name string, category string, text string")
+    backend = E.Hashed(64)
+    _, index = K.added(df.limit(0), df, backend, size=200, overlap=20)
+    rows = index.collect()
+    assert {int(r.chunk_no) for r in rows} == {int(r.doc_id) * K.PER_DOCUMENT + r.ordinal for r in rows} and len(rows) > 8
+    asked = backend.embed(spark.createDataFrame([(0, "generators")], "no long, t string"), "no", "t")
+    top = E.nearest(asked, index.select(F.col("chunk_no").alias("id"), "v"), 2, dimension=64).collect()
+    assert {int(r.id) // K.PER_DOCUMENT for r in top} == {2**62}
+
+
 def test_evidence_and_drafts(spark):
     backend = E.Hashed(1024)
     _, index = K.added(docs(spark).limit(0), docs(spark), backend)

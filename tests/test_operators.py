@@ -107,7 +107,7 @@ def brute_chunks(paras, size, overlap):
             return t
         parts = gap.split(t)
         fitting = [" ".join(parts[i:]) for i in range(len(parts)) if len(" ".join(parts[i:])) <= overlap]
-        return max(fitting, key=len) if fitting else t[len(t) - overlap :]
+        return max(fitting, key=len) if fitting else t[len(t) - overlap :].lstrip()
 
     out, open_ = [], ["", None]
 
@@ -127,7 +127,7 @@ def brute_chunks(paras, size, overlap):
         for piece, joint in pieces:
             if len(piece) > size:
                 close()
-                out.extend((piece[i : i + size], section) for i in range(0, len(piece), size - overlap))
+                out.extend((piece[i : i + size].strip(), section) for i in range(0, len(piece), size - overlap) if piece[i : i + size].strip())
                 open_[:] = ["", section]
             elif not open_[0]:
                 open_[:] = [piece, section]
@@ -154,6 +154,9 @@ def test_chunks_like_brute_force():
         size = r.randint(20, 120)
         overlap = r.randint(1, size - 1)
         assert list(chunking.Packing(size, overlap).packed(paras)) == brute_chunks(paras, size, overlap)
+    blank = [("abcdefghi jklmnop  qrstuvwxyz abc" + " " * 30 + "d", None)]
+    got = [t for t, _ in chunking.Packing(10, 2).packed(blank)]
+    assert got[:3] == ["abcdefghi", "i jklmnop", "p  qrstuvw"] and all(t == t.strip() and t for t in got) and list(chunking.Packing(10, 2).packed(blank)) == brute_chunks(blank, 10, 2)
 
 
 def test_checklists(spark):
