@@ -25,6 +25,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .scratch import dropped, stored
 from .words import slices
 
 #: Words, and windows, that a worker keeps; each is emptied when full.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 CACHED_WINDOWS = 200_000
 #: Bytes of text that are aligned at once.
 SLICE = 1 << 20
@@ -110,13 +111,26 @@ class Tokenizers:
         last = np.searchsorted(token_ends, word_ends)
         cut = token_ends[np.minimum(last, len(token_ends) - 1)] == word_ends
         raw, starts = ids.astype("<u4").tobytes(), np.r_[0, last[:-1] + 1]
-        sound = cut & np.r_[True, cut[:-1]]
-        for w, x, start, end, ok, b in zip(plain, led, (4 * starts).tolist(), (4 * (last + 1)).tolist(), sound.tolist(), self.b.encode(plain, num_threads=1)):
-            if w[0] == "\n":
-                ok = ok and b[0] == self.space
-                b = b[1:]
-            if ok and b"".join(map(self.b_bytes.__getitem__, b)) == x:
-                self.words[w] = raw[start:end], array("I", b).tobytes()
+        b_ids, b_cuts, sound = self._pieces(plain, led)
+        sound &= cut & np.r_[True, cut[:-1]]
+        spans = zip(plain, *((4 * x).tolist() for x in (starts, last + 1, b_cuts[:-1], b_cuts[1:])), sound.tolist())
+        self.words.update((w, (raw[i:j], b_ids[k:n])) for w, i, j, k, n, ok in spans if ok)
+
+    def _pieces(self, plain: list[str], led: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """B's ids of the words after each other, where each begins, and which words' bytes they have. The space before a line
+        break is left out."""
+        found = self.b.encode(plain, num_threads=1)
+        cuts = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+        ids = np.fromiter(chain.from_iterable(found), np.int64, cuts[-1])
+        broken = np.fromiter((w[0] == "\n" for w in plain), bool, len(plain))
+        ends = np.r_[0, np.cumsum(self.b_length[ids])][cuts]
+        sound = (np.diff(ends) == np.fromiter(map(len, led), np.int64, len(led)) + broken) & ~(broken & (ids[cuts[:-1]] != self.space))
+        said = b"".join(map(self.b_bytes.__getitem__, ids.tolist()))
+        if said != b"".join([b" " + x if x[:1] == b"\n" else x for x in led]):
+            sound &= [said[i + n : j] == x for i, j, n, x in zip(ends[:-1].tolist(), ends[1:].tolist(), broken.tolist(), led)]
+        kept = np.ones(len(ids), bool)
+        kept[cuts[:-1][broken]] = False
+        return ids[kept].astype("<u4").tobytes(), cuts - np.r_[0, np.cumsum(broken)], sound
 
     def encoded(self, texts: list[bytes]) -> list[tuple[bytes, bytes] | None]:
         """Both ids of each text as little-endian uint32, or None where it has no tokens."""
@@ -124,7 +138,7 @@ class Tokenizers:
         split = [t.replace("\n", " \n").split(" ") if t and self.by_words else [] for t in said]
         every = set().union(*split)
         if len(self.words) + len(every) > CACHED_WORDS:
-            self.words.clear()
+            self.words = {w: self.words[w] for w in every if w in self.words}
         self._learn([w for w in every if w not in self.words])
         out: list[tuple[bytes, bytes] | None] = []
         for raw, text, words in zip(texts, said, split):
@@ -140,39 +154,52 @@ class Tokenizers:
         return out
 
 
-class Windows(dict):
+class Windows:
     """The number of a window by its ids; what is known of the windows stands in columns."""
 
     def __init__(self, of: Tokenizers):
-        super().__init__()
         self.of, self.width = of, len(of.b_bytes)
+        #: Of each number how it is written before another token of its side, the other side, another group and another window.
+        self.written = [f"{i}{end}" for end in ",|;\n" for i in range(max(len(of.a_bytes), self.width))]
         self.emptied()
 
     def emptied(self) -> None:
-        self.clear()
+        self.numbers: dict[bytes, int] = {}
         self.groups, self.links, self.starts, self.codes, self.text = array("q"), array("q"), array("q", [0]), array("q"), []
 
-    def __missing__(self, key: bytes) -> int:
-        ids = np.frombuffer(key, "<u4")
-        a, b = ids[ids < _B].astype(np.int64), ids[ids >= _B].astype(np.int64) - _B
-        a_ends, b_ends = np.cumsum(self.of.a_length[a]).tolist(), np.cumsum(self.of.b_length[b]).tolist()
-        a, b = a.tolist(), b.tolist()
-        i = j = a_from = b_from = 0
-        told = []
-        while i < len(a) and j < len(b):
-            self.codes.append(a[i] * self.width + b[j])
-            x, y = a_ends[i], b_ends[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                told.append(",".join(map(str, a[a_from:i])) + "|" + ",".join(map(str, b[b_from:j])))
-                a_from, b_from = i, j
-        self[key] = number = len(self.text)
-        self.text.append(";".join(told))
-        self.groups.append(len(told))
-        self.links.append(len(self.codes) - self.starts[-1])
-        self.starts.append(len(self.codes))
-        return number
+    def numbered(self, keys: list[bytes]) -> np.ndarray:
+        """The windows' numbers; all new ones are aligned at once."""
+        if new := [k for k in dict.fromkeys(keys) if k not in self.numbers]:
+            self.numbers.update(zip(new, range(len(self.text), len(self.text) + len(new))))
+            self._learn(new)
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+
+    def _learn(self, keys: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
+        of_b = ids >= _B
+        a, b = ids[~of_b], ids[of_b] - _B
+        a_ends, b_ends = np.cumsum(self.of.a_length[a]), np.cumsum(self.of.b_length[b])
+        key_ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys))) // 4
+        window_ends = b_ends[np.cumsum(of_b)[key_ends - 1] - 1]
+        ends = np.union1d(a_ends, b_ends)  # between two of these lies one token of A on one of B: a link
+        self.codes.extend((a[np.searchsorted(a_ends, ends)] * self.width + b[np.searchsorted(b_ends, ends)]).tolist())
+        links = np.searchsorted(ends, window_ends) + 1
+        self.links.extend(np.diff(np.r_[0, links]).tolist())
+        self.starts.extend((self.starts[-1] + links).tolist())
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        last = np.searchsorted(cuts, window_ends)
+        self.groups.extend(np.diff(np.r_[-1, last]).tolist())
+        # What is written: group by group the tokens of A, then those of B.
+        a_last, b_last = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        a_of, b_of = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        n = len(self.written) // 4
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[a_last], end_b[b_last] = 1, 2
+        end_b[b_last[last]] = 3
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.r_[0, b_last + 1][a_of]] = a + n * end_a
+        out[np.arange(len(b)) + a_last[b_of] + 1] = b + n * end_b
+        self.text.extend("".join(map(self.written.__getitem__, out.tolist())).split("\n")[:-1])
 
 
 def _aligned(texts: list[bytes], of: Tokenizers, memo: Windows) -> tuple[list[np.ndarray], list[str], tuple[np.ndarray, ...]]:
@@ -194,11 +221,11 @@ def _aligned(texts: list[bytes], of: Tokenizers, memo: Windows) -> tuple[list[np
     text_ends = np.cumsum([1 + len(texts[i]) for i in held])
     window_ends = a_ends[a_to - 1]
     a_raw, b_raw = a.astype("<u4").tobytes(), (b + _B).astype("<u4").tobytes()
-    if len(memo) > CACHED_WINDOWS:
+    if len(memo.text) > CACHED_WINDOWS:
         memo.emptied()
     cuts = [(4 * np.r_[0, x]).tolist() for x in (a_to, b_to)]
     keys = [a_raw[i:j] + b_raw[k:n] for i, j, k, n in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
-    which = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))
+    which = memo.numbered(keys)
     del keys
     firsts = np.r_[0, np.searchsorted(window_ends, text_ends) + 1]
     groups, links, starts, codes = (np.frombuffer(x, np.int64) for x in (memo.groups, memo.links, memo.starts, memo.codes))
