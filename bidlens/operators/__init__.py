@@ -3,7 +3,8 @@
 from .checklist import outreach, playbook_code
 from .chunking import Packing, chunks, ending, paragraphs, sectioned
 from .embedding import Backend, Hashed, nearest, ranked, relevance
-from .knowledge import added, contextual_chunks, described, document_texts, embedded, in_categories, loaded, numbered_chunks, rebuilt, recategorised, reindexed, saved
+from .drafts import Drafts
+from .knowledge import added, contextual_chunks, described, document_texts, embedded, in_categories, loaded, numbered_chunks, rebuilt, recategorised, rechunked, reindexed, saved
 from .mining import bigrams, broad_terms, chosen_queries, query_candidates, term_stats, terms
 from .pricing import price_histogram, price_summary, ranked_awards
 from .proposal import Section, compliance_evidence, compliance_matrix, draft_markdown, exemplar, gathered, matrix_markdown, outline, scaffolds, solicitation_index, title_page
@@ -13,3 +14,4 @@ from .search import Filters, first_seen, numbered_by, overlaid, page, pages
 from .store import cache_stats, cached, daily_budget, latest, new_documents, updated, versions, without
 
 __all__ = [name for name in dir() if not name.startswith("_")]
+from .responses import Cache, fetched

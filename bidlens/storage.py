@@ -25,3 +25,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any file system that Spark knows, sorted; none where there is no folder."""
+    p, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _folder(spark, path)
+    return fs.exists(p)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    p, fs = _folder(spark, path)
+    fs.delete(p, True)
