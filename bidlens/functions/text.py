@@ -151,16 +151,14 @@ def template_score(kind: Column, category: Column, name: Column, n_chunks: Colum
     """How well a document stands for a whole proposal: technical and past-performance volumes over line cards and price forms."""
     low = F.lower(name)
     holds = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    rules = [
-        (kind == "Proposal", 12.0),
-        (kind == "Technical Document", 8.0),
-        ((kind == "Past Performance") & (n_chunks >= 5), 10.0),
-        (category.isin("Technical", "Past Performance"), 4.0),
-        (holds("proposal", "excitation", "technical volume", "volume 1"), 6.0),
-        (kind.isin("Capability Statement", "Pricing") & (n_chunks <= 3), -8.0),
-        (holds("line card", "capabilities statement"), -6.0),
+    rules = [(kind == k, worth) for k, worth in V.TEMPLATE_KINDS.items()] + [
+        ((kind == "Past Performance") & (n_chunks >= V.TEMPLATE_PAST_CHUNKS), V.TEMPLATE_PAST_PERFORMANCE),
+        (category.isin(*V.TEMPLATE_CATEGORIES), V.TEMPLATE_CATEGORY),
+        (holds(*V.TEMPLATE_NAMES), V.TEMPLATE_NAME),
+        (kind.isin(*V.TEMPLATE_SHORT_KINDS) & (n_chunks <= V.TEMPLATE_SHORT_CHUNKS), V.TEMPLATE_SHORT),
+        (holds(*V.TEMPLATE_CARDS), V.TEMPLATE_CARD),
     ]
-    return reduce(lambda a, r: a + F.when(r[0], r[1]).otherwise(0.0), rules, F.least(n_chunks, F.lit(25)) * 0.5)
+    return reduce(lambda a, r: a + F.when(r[0], r[1]).otherwise(0.0), rules, F.least(n_chunks, F.lit(V.TEMPLATE_MOST_CHUNKS)) * V.TEMPLATE_CHUNK)
 
 
 def is_heading(line: Column) -> Column:

@@ -177,3 +177,45 @@ PLAYBOOK_TAIL = [
     ("Confirm submission method and format", "Check whether the response goes via email, SAM.gov, or a portal, and the required file formats.", "normal"),
     ("Download and review all attachments", "Pull every resource link (SOW/PWS, attachments, amendments) and scan for requirements.", "high"),
 ]
+
+# Titles and details of the checklist's own items.
+DEADLINE_PASSED, DEADLINE_AHEAD = "Deadline has passed — verify if still open", "Submit the response before the deadline"
+REVIEW = ("Internal 'pencils down' / final review", "Reserve the final 48 hours for compliance review and submission mechanics.")
+SET_ASIDE_CHECK = "Confirm set-aside eligibility"
+
+# What a document that stands for a whole proposal is worth, by its kind, category and name; half a point a chunk up to the most.
+TEMPLATE_KINDS = {"Proposal": 12.0, "Technical Document": 8.0}
+TEMPLATE_PAST_PERFORMANCE, TEMPLATE_PAST_CHUNKS = 10.0, 5
+TEMPLATE_CATEGORIES, TEMPLATE_CATEGORY = ("Technical", "Past Performance"), 4.0
+TEMPLATE_NAMES, TEMPLATE_NAME = ("proposal", "excitation", "technical volume", "volume 1"), 6.0
+TEMPLATE_SHORT_KINDS, TEMPLATE_SHORT_CHUNKS, TEMPLATE_SHORT = ("Capability Statement", "Pricing"), 3, -8.0
+TEMPLATE_CARDS, TEMPLATE_CARD = ("line card", "capabilities statement"), -6.0
+TEMPLATE_CHUNK, TEMPLATE_MOST_CHUNKS = 0.5, 25
+
+# Tabs and appendices of a volume whose template names none, and the restriction on its title page.
+TABS = [
+    ("1", "Executive Summary"),
+    ("2", "Equipment Drawings and Descriptive Data"),
+    ("3", "Installation Plan"),
+    ("4", "Technical Comments and Clarifications"),
+    ("5", "Past Performance"),
+    ("6", "Appendices"),
+]
+APPENDICES = [
+    ("1", "Equipment Highlights / Product Description"),
+    ("2", "Specification Guide / Technical Data"),
+    ("3", "One-Line Diagram"),
+    ("4", "Equipment Outline Drawing"),
+    ("5", "Technical Standards and Certifications"),
+    ("6", "HMI / Control System Information"),
+    ("7", "Selected Screen Shots / Interface Examples"),
+    ("8", "Quality Certification & Facility Capability"),
+    ("9", "Product Description and Maintenance Procedures"),
+    ("10", "Maintenance Schedule"),
+    ("11", "Spare Parts List"),
+]
+RESTRICTION = (
+    "This proposal includes data that shall not be disclosed outside the Government and shall not be duplicated, used, or disclosed — in whole or in part — for any purpose other than to evaluate this proposal. "
+    "If, however, a contract is awarded to the offeror as a result of — or in connection with — the submission of this data, the Government shall have the right to duplicate, use, or disclose the data to the extent provided in the resulting contract. "
+    "This restriction does not limit the Government's right to use information contained in this data if it is obtained from another source without restriction."
+)

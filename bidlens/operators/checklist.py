@@ -32,13 +32,13 @@ def checklist(notices: DataFrame, as_of: Column, key: str = "notice_id") -> Data
     at = F.date_format(F.col("deadline").cast("timestamp"), "yyyy-MM-dd HH:mm")
     late = days < 0
     due = _item(
-        F.when(late, "Deadline has passed — verify if still open").otherwise("Submit the response before the deadline"),
+        F.when(late, V.DEADLINE_PASSED).otherwise(V.DEADLINE_AHEAD),
         F.concat(F.lit("Response deadline: "), at, F.lit(". ~"), days.cast("string"), F.lit(" day(s) remaining.")),
         F.date_format("deadline", "yyyy-MM-dd"),
         F.when(late | (days <= 7), "high").otherwise("normal"),
         "opportunity metadata: responseDeadLine",
     )
-    review = _item("Internal 'pencils down' / final review", "Reserve the final 48 hours for compliance review and submission mechanics.", F.date_format(F.date_sub(F.col("deadline").cast("date"), 2), "yyyy-MM-dd"), "normal", "rules engine (derived from responseDeadLine)")
+    review = _item(*V.REVIEW, F.date_format(F.date_sub(F.col("deadline").cast("date"), 2), "yyyy-MM-dd"), "normal", "rules engine (derived from responseDeadLine)")
     source = F.concat(F.lit("notice type: "), F.coalesce(non_empty(F.col("type")), F.lit("unknown")))
     code = playbook_code(F.col("type"))
     none = F.slice(F.array(due), 2, 0)
@@ -46,7 +46,7 @@ def checklist(notices: DataFrame, as_of: Column, key: str = "notice_id") -> Data
     for c, items in V.PLAYBOOK.items():
         plays = F.when(code == c, F.array(*[_item(a, d, None, p, source) for a, d, p in items])).otherwise(plays)
     restricted = set_aside_label(non_empty(F.col("set_aside")))
-    aside = _item("Confirm set-aside eligibility", F.concat(F.lit("This is restricted to: "), restricted, F.lit(". Verify your firm qualifies before investing effort.")), None, "high", "opportunity metadata: typeOfSetAside")
+    aside = _item(V.SET_ASIDE_CHECK, F.concat(F.lit("This is restricted to: "), restricted, F.lit(". Verify your firm qualifies before investing effort.")), None, "high", "opportunity metadata: typeOfSetAside")
     tail = F.array(*[_item(a, d, None, p, "rules engine") for a, d, p in V.PLAYBOOK_TAIL])
     dated = F.col("deadline").isNotNull()
     items = F.concat(F.when(dated, F.array(due)).otherwise(none), F.when(dated & (days > 2), F.array(review)).otherwise(none), plays, F.when(restricted.isNotNull(), F.array(aside)).otherwise(none), tail)

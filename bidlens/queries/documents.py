@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import chunking, mining
 from ..operators import requirements as R
+from ..operators.proposal import elected_template
 from ..operators.search import first_seen, numbered_by
 from ..registry import query
 from ..sources.tables import library, table
@@ -191,11 +192,7 @@ def template_election(spark, d):
 def template_scored(spark, d):
     """The document that best stands for a whole proposal, by additive rules over kind, category, name and chunks; the first of equals, and only with a score above 0."""
     docs = library(spark, d)
-    chunks = chunking.chunks(docs, "doc_id", "text").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("n_chunks"))
-    score = T.template_score(T.doc_type(F.col("name"), F.col("category"), F.col("text")), F.col("category"), F.col("name"), F.coalesce("n_chunks", F.lit(0)))
-    scored = docs.join(chunks, docs["doc_id"] == chunks["_id"], "left").select("doc_id", score.alias("score")).where("score > 0")
-    best = scored.agg(F.max_by(F.struct("doc_id", "score"), F.struct("score", -F.col("doc_id"))).alias("b")).where("b IS NOT NULL")
-    return best.select("b.doc_id", "b.score")
+    return elected_template(docs, chunking.chunks(docs, "doc_id", "text"))
 
 
 @query("SELECT conv_id, string_agg('**' || role || '** ' || replace(replace(text, '|', chr(92) || '|'), chr(10), ' '), chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")

@@ -15,7 +15,7 @@ from .documents import VERBS
 SECTIONS = [
     P.Section("summary", "Executive Summary", "the and of that for with ing tion", headings=("the",)),
     P.Section("approach", "Technical Approach", "der die und das ist nicht mit", solicitation=2, facts=6),
-    P.Section("experience", "Past Performance", "les des une que pour dans est", style=3),
+    P.Section("experience", "Past Performance", "les des une que pour dans est", style=3, categories=("src1", "src2")),
     P.Section("extra", "Appendix", "los las una por con para del", optional=True),
 ]
 
@@ -30,8 +30,9 @@ def _chunks(spark, d, backend):
 
 
 def _evidence(spark, d):
-    backend = E.Hashed()
-    return stored(P.gathered(SECTIONS, _solicitation(spark, d, backend), _chunks(spark, d, backend), backend, template=0), "evidence")
+    backend, chunks = E.Hashed(), _chunks(spark, d, E.Hashed())
+    elected = P.elected_template(library(spark, d), chunks).first()
+    return stored(P.gathered(SECTIONS, _solicitation(spark, d, backend), chunks, backend, template=elected and elected.doc_id), "evidence")
 
 
 @query()
