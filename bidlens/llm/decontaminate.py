@@ -5,9 +5,11 @@ fixed for the partition so that a document holding a `containment` share of the
 partition's largest size, less what must be shared, and one. So the search loses nothing, whatever the document's
 length. Candidates are verified by exact shingle containment, on the words themselves.
 
-Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; shingles are five words, or all words of a shorter text. Items without
-words are in no document, and null and empty texts hold none. The items are a query set: they are broadcast in blocks of
-at most BLOCK_BYTES of text, and every block meets all documents. Each row of either table stands for itself.
+Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. An item's shingles are five words, or all its words where it has fewer; a
+document is looked through for runs of each length that the items have, so that an item of two words is found inside a long
+document. Items without words are in no document, and null and empty texts hold none. The items are a query set: they are
+broadcast in blocks of at most BLOCK_BYTES of text, and every block meets all documents. Each row of either table stands for
+itself. An empty table of either kind finds nothing; columns that are not asked for are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import shingles, slices, texts
+from .words import rolling, shingles, slices, texts, word_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -29,50 +31,59 @@ BLOCK_BYTES = 16 << 20
 _TABLE_BITS = 20
 
 
-def _exact(words: list[bytes], k: int) -> set[bytes]:
-    n = min(k, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+def _exact(words: list[bytes], n: int) -> set[bytes]:
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+class Sketches:
+    """The sketches of items whose shingles have one length, as sorted hashes with their owners."""
+
+    def __init__(self, hashes: list[np.ndarray], owners: list[int]):
+        h, o = np.concatenate(hashes), np.array(owners, np.int64)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.owners = h[order], o[order]
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
+
+    def near(self, own: np.ndarray) -> set[int]:
+        """The items of which some of these hashes are in the sketch."""
+        own = np.unique(own[self.table[own >> np.uint64(64 - _TABLE_BITS)]])
+        lo, hi = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, "right")
+        return {int(x) for a, b in zip(lo[hi > lo], hi[hi > lo]) for x in self.owners[a:b]}
 
 
 class Items:
-    """A block of items, their sketches by size partition."""
+    """A block of items, their sketches by length of shingle and size partition."""
 
     def __init__(self, rows: list[tuple[int, str]], k: int, containment: float):
-        self.k, self.containment = k, containment
-        self.items: list[tuple[int, set[bytes]]] = []
-        hashes, owners = [], []
+        self.containment = containment
+        self.items: list[tuple[int, int, set[bytes]]] = []
+        hashes: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[int]] = {}
         for item, text in rows:
             words = text.encode().lower().split()
             own = shingles(words, k)
             if len(own):
+                n = min(k, len(words))
                 largest = (1 << len(own).bit_length()) - 1  # of the partition
                 sketch = own[: largest - math.ceil(containment * largest - 1e-9) + 1]
-                hashes.append(sketch)
-                owners += [len(self.items)] * len(sketch)
-                self.items.append((item, _exact(words, k)))
-        h, o = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(owners, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owners = h[order], o[order]
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
+                hashes.setdefault(n, []).append(sketch)
+                owners.setdefault(n, []).extend([len(self.items)] * len(sketch))
+                self.items.append((item, n, _exact(words, n)))
+        self.sketches = {n: Sketches(h, owners[n]) for n, h in hashes.items()}
 
     def found(self, words: list[bytes]) -> list[tuple[int, float, int]]:
         """Item, containment and the item's shingles, of the items that a document holds."""
-        if not words or not self.items:
-            return []
-        own = shingles(words, self.k)
-        own = own[self.table[own >> np.uint64(64 - _TABLE_BITS)]]
-        lo, hi = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, "right")
-        near = {int(x) for a, b in zip(lo[hi > lo], hi[hi > lo]) for x in self.owners[a:b]}
-        if not near:
-            return []
-        exact = _exact(words, self.k)
+        h = word_hashes(words)
         out = []
-        for i in sorted(near):
-            item, want = self.items[i]
-            share = len(want & exact)
-            if share >= self.containment * len(want) - 1e-9:
-                out.append((item, share / len(want), len(want)))
+        for n, sketches in self.sketches.items():
+            near = sketches.near(rolling(h, n))
+            exact = _exact(words, n) if near else set()
+            for i in sorted(near):
+                item, _, want = self.items[i]
+                share = len(want & exact)
+                if share >= self.containment * len(want) - 1e-9:
+                    out.append((item, share / len(want), len(want)))
         return out
 
 

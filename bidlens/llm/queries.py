@@ -137,11 +137,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingled(table: str, key: str, k: int) -> str:
-    """key and the list of its distinct k-word shingles, of texts with words."""
-    return f"""
-SELECT {key}, list_distinct(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS s
-FROM (SELECT {key}, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0"""
+def _words(table: str, key: str) -> str:
+    """key and the words w of texts with words."""
+    return f"SELECT {key}, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL AND len(w) > 0"
+
+
+_RUNS = "list_distinct(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,10 +155,11 @@ SELECT page_id, octet_length(b)::bigint AS payload_bytes,
        CASE WHEN page_id <> f THEN f END AS refers_to, 'ok' AS status
 FROM q""",
     "op9_decontamination": f"""
-WITH d AS ({_shingled("documents", "doc_id", 5)}), b AS ({_shingled("benchmark", "item_id", 5)}),
-ds AS (SELECT doc_id, unnest(s) AS g FROM d), bs AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b)
+WITH d AS ({_words("documents", "doc_id")}), b AS (SELECT *, least(len(w), 5) AS m FROM ({_words("benchmark", "item_id")})),
+ds AS (SELECT doc_id, m, unnest({_RUNS}) AS g FROM d JOIN (SELECT DISTINCT m FROM b) ON len(w) >= m),
+bs AS (SELECT item_id, m, len(s) AS n, unnest(s) AS g FROM (SELECT item_id, m, {_RUNS} AS s FROM b))
 SELECT doc_id, item_id, count(*) / n::double AS containment, n::bigint AS n_item_shingles
-FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, n HAVING 10 * count(*) >= 8 * n""",
+FROM ds JOIN bs USING (m, g) GROUP BY doc_id, item_id, n HAVING 10 * count(*) >= 8 * n""",
     "op11_hard_negatives": """
 WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label END AS label, list_transform(embedding::double[], lambda x: floor(256 * x)) AS v
            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::double[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -62,22 +62,27 @@ def test_decontamination_oracle(spark):
 
 
 def brute_contaminations(docs, items, k=5):
-    def grams(t):
-        w = [x.translate(brute.LOWER) for x in brute.WORD.findall(t or "")]
+    words = lambda t: [x.translate(brute.LOWER) for x in brute.WORD.findall(t or "")]
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = []
+    for i, b in items:
+        if not (w := words(b)):
+            continue
         n = min(k, len(w))
-        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
-
-    return sorted((d, i, len(grams(a) & grams(b)), len(grams(b))) for d, a in docs for i, b in items if grams(b) and 10 * len(grams(a) & grams(b)) >= 8 * len(grams(b)))
+        want = grams(w, n)
+        out += [(d, i, len(grams(words(a), n) & want), len(want)) for d, a in docs if 10 * len(grams(words(a), n) & want) >= 8 * len(want)]
+    return sorted(out)
 
 
 def test_decontamination_edges(spark):
     item = " ".join(f"w{i}" for i in range(24))
     part = lambda n: " ".join(f"w{i}" for i in range(n))
     docs = [(1, "pre " + item + " post"), (2, part(20)), (3, part(19)), (4, None), (5, ""), (6, "z " * 40_000 + item.upper()), (7, "two words"), (8, "x two words y"), (9, item), (9, item)]
-    items = [(1, item), (2, "two words"), (3, None), (4, ""), (5, item), (6, "one two three four five six")]
+    items = [(1, item), (2, "two words"), (3, None), (4, ""), (5, item), (6, "one two three four five six"), (7, "Y"), (8, "w3 w4 w5 w6"), (9, "words two")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("x"))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
     want = brute_contaminations(docs, items)
+    assert (8, 2, 1, 1) in want and (7, 2, 1, 1) in want and (8, 7, 1, 1) in want and (9, 8, 1, 1) in want  # short items inside longer documents
     for how in ({}, {"block_bytes": 200}):
         got = sorted((r.doc_id, r.item_id, round(r.containment * r.n_item_shingles), r.n_item_shingles) for r in contaminations(d, b, **how).collect())
         assert got == want
