@@ -285,13 +285,15 @@ _MEETING = ["token", "i", "j"]
 
 def met_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For groups sorted by token, i and j, those of blocks i and j of the token: of these (token, i, j, block, g, component)
-    of the groups that may have a link into another component, by their sizes, the tokens q that they have in common
-    with others, and as the token is the first one that the two share."""
+    of the groups that may have a link into another component, by their sizes, what they have in common at most, and as the
+    token is the first one of `met` that the two share. `short` has 16 bits of each token that a group shares with others:
+    two groups share no more tokens than these have in common, each as often as both have it."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, _MEETING):
             token, i, j, block, g, component, least, lo, hi = (batch.column(x).to_numpy() for x in (*_MEETING, "block", "g", "component", "least", "lo", "hi"))
-            q, q_at = _values(batch.column("q"))
+            short, short_at = _values(batch.column("short"))
+            met, met_at = _values(batch.column("met"))
             edges = _edges(batch, _MEETING)
             kept = np.zeros(len(batch), bool)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -302,12 +304,14 @@ def met_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.Record
                 may = (component[u] != component[v]) & (denominator * hi[u] >= numerator * lo[v]) & (denominator * hi[v] >= numerator * lo[u])
                 if i[a] == j[a]:
                     may &= g[u] < g[v]
+                every = np.arange(b - a)
                 if may.any():
-                    own, of = q[q_at[a] : q_at[b]], np.repeat(np.arange(b - a), np.diff(q_at[a : b + 1]))
-                    may &= _shared(own, of, x, y) >= np.minimum(least[u], least[v])
+                    tokens, of = met[met_at[a] : met_at[b]], np.repeat(every, np.diff(met_at[a : b + 1]))
+                    before = tokens < token[a]
+                    may &= ~before.any() or _shared(tokens[before], of[before], x, y) == 0
                 if may.any():
-                    before = np.arange(len(own)) < np.flatnonzero(own == token[a])[of]  # each has the token once
-                    may &= _shared(own[before], of[before], x, y) == 0
+                    own, of = _numbered(short[short_at[a] : short_at[b]], np.repeat(every, np.diff(short_at[a : b + 1])))
+                    may &= _shared(own, of, x, y) >= np.minimum(least[u], least[v])
                 kept[a + x[may.any(axis=1)]] = True
                 kept[a + y[may.any(axis=0)]] = True
             yield batch.select([*_MEETING, "block", "g", "component"]).filter(pa.array(kept))
@@ -315,6 +319,15 @@ def met_groups(numerator: int, denominator: int) -> Callable[[Iterator[pa.Record
     return found
 
 
+def _numbered(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of 16 bits that an owner may have several times, told apart by their number; and the owners."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order].astype(np.int64), owner[order]
+    new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])]
+    at = np.arange(len(values))
+    return values + ((at - np.maximum.accumulate(np.where(new, at, 0))) << 17), owner
+
+
 def opened_blocks(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For what met_groups keeps, with the rest of the MATRIX rows: (x, y), groups that links connect, each with the first."""
 
@@ -511,8 +524,11 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heavy = held.where(F.col("m") > LIGHT).groupBy("m", "a", "b").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK_GROUPS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("block"), x).alias("i"), F.greatest(F.col("block"), x).alias("j")))
-    dealt = placed.join(heavy, "token").withColumn("block", block).withColumn("pair", F.explode(pair)).join(brief, "g")
-    dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "q")
+    at = placed.join(heavy, "token").select("token", "blocks", "g", "component")
+    met = at.groupBy("g").agg(F.collect_list("token").alias("met"))
+    own_brief = brief.select("g", "least", "lo", "hi", F.transform("q", lambda t: (t % 32768).cast("short")).alias("short")).join(met, "g")
+    dealt = at.withColumn("block", block).withColumn("pair", F.explode(pair)).join(own_brief, "g")
+    dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "short", "met")
     in_meetings = lambda df: df.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
     crowd = stored(in_meetings(dealt).mapInArrow(met_groups(numerator, denominator), "token long, i int, j int, block int, g long, component long"), "jaccard_crowd")
     more = in_meetings(crowd.join(matrix.select("g", "ns", "union", "held"), "g")).mapInArrow(opened_blocks(numerator, denominator), "x long, y long")

@@ -122,3 +122,22 @@ def test_groups_beyond_one_bucket(spark, monkeypatch):
     rows = list(enumerate(rows))
     got = sorted(tuple(x) for x in document_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute_classes(rows)
+
+
+def test_blocks_of_common_tokens_like_brute_force(spark, monkeypatch):
+    """Near copies in many groups, whose common tokens are dealt into several blocks: no pair of blocks may be missed."""
+    from bidlens.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GROUPS", 4)
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for n in range(150):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 6])):
+            words[r.randrange(len(words))] = f"x{r.randrange(40)}"
+        texts.append((n, " ".join(words[: r.randrange(55, 71)])))
+    rows = texts + [(200 + i, f"other words number {i} stand here alone") for i in range(20)]
+    got = document_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_classes(rows))
