@@ -71,6 +71,22 @@ def reachable(email: Column, phone: Column) -> Column:
     return non_empty(email).isNotNull() | non_empty(phone).isNotNull()
 
 
+def linked_notice(raw: Column) -> Column:
+    """struct(notice_id, error) of a pasted link, or of a bare id of 16 letters and digits or more: nothing else will do."""
+    text = stripped(F.coalesce(raw, F.lit("")))
+    found = F.coalesce(non_empty(F.regexp_extract(text, "/opp/([A-Za-z0-9]+)", 1)), F.when(text.rlike("^[A-Za-z0-9]{16,}$"), text))
+    return F.struct(found.alias("notice_id"), F.when(text == "", "empty").when(found.isNull(), "not_a_link").alias("error"))
+
+
+def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """A line of a log without what it must not tell: the values of parameters with a secret's name, and these secrets wherever they are."""
+    out = F.regexp_replace(text, rf"(?i)\b({'|'.join(SECRET_NAMES)})=[^&\s]+", "$1=***")
+    for secret in secrets:
+        if secret:
+            out = F.replace(out, F.lit(secret), F.lit("***"))
+    return out
+
+
 def notice_reference(raw: Column) -> Column:
     """struct(notice_id, link, error) of a pasted notice link or bare id."""
     text = stripped(F.coalesce(raw, F.lit("")))
@@ -99,10 +115,19 @@ def scrubbed(params: Column) -> Column:
     return F.map_filter(params, lambda k, v: ~F.lower(k).isin(*SECRET_NAMES) & v.isNotNull())
 
 
+def _escaped(x: Column) -> Column:
+    """A text inside JSON of ASCII alone: other characters by their UTF-16 code units."""
+    plain = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    short = F.create_map(*[F.lit(v) for pair in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")) for v in pair])
+    each = F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(r"\A[ -~]?\z"), c).otherwise(F.coalesce(F.try_element_at(short, c), units(c))))
+    return F.when(plain.rlike("[^ -~]"), F.array_join(each, "")).otherwise(plain)
+
+
 def cache_key(endpoint: Column, params: Column) -> Column:
-    """SHA-256 of endpoint and scrubbed parameters as compact JSON with sorted keys (ASCII values)."""
+    """SHA-256 of endpoint and scrubbed parameters as compact JSON with sorted keys, whatever their characters."""
     pairs = F.array_sort(F.map_entries(scrubbed(params)))
-    quote = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    quote = lambda x: F.concat(F.lit('"'), _escaped(x), F.lit('"'))
     body = F.array_join(F.transform(pairs, lambda e: F.concat(quote(e["key"]), F.lit(":"), quote(e["value"]))), ",")
     return F.sha2(F.concat(F.lit('{"endpoint":'), quote(endpoint), F.lit(',"params":{'), body, F.lit("}}")), 256)
 

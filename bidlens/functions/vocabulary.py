@@ -219,3 +219,18 @@ RESTRICTION = (
     "If, however, a contract is awarded to the offeror as a result of — or in connection with — the submission of this data, the Government shall have the right to duplicate, use, or disclose the data to the extent provided in the resulting contract. "
     "This restriction does not limit the Government's right to use information contained in this data if it is obtained from another source without restriction."
 )
+
+# A letter to a contact; what stands in braces is filled in.
+LETTER_SUBJECT = "Question regarding {title} ({ref})"
+LETTER = (
+    "Dear {name},\n\n"
+    "My name is {sender}, {sender_title} at {company}. I am writing regarding the opportunity \"{opportunity}\" ({ref}) posted by {agency}{naics}.\n\n"
+    "{company} specializes in {capabilities}, which aligns closely with the requirement described in this notice. {deadline}We would welcome the opportunity to confirm a few details to ensure our response fully addresses your needs:\n\n"
+    "  1. Could you confirm the preferred submission method and format?\n"
+    "  2. Are there any anticipated amendments or a scheduled industry day?\n"
+    "  3. Is the set-aside designation final as posted?\n\n"
+    "Thank you for your time and for the information provided in this notice. Please let me know if a brief call would be helpful.\n\n"
+    "Best regards,\n{sender}\n{sender_title}, {company}\n{email} | {phone}"
+)
+LETTER_DEADLINE = "We note the response deadline of {day}. "
+LETTER_SOURCES = {"always": "opportunity metadata: title, solicitationNumber, agency", "naics": "opportunity metadata: naicsCode", "deadline": "opportunity metadata: responseDeadLine", "contact": "opportunity metadata: pointOfContact.fullName"}

@@ -10,6 +10,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import agency
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -19,6 +21,7 @@ class Filters:
     naics: tuple[str, ...] = field(default=())
     set_asides: tuple[str, ...] = field(default=())
     types: tuple[str, ...] = field(default=())
+    department: str | None = None
     posted_from: date | None = None
     posted_to: date | None = None
     limit: int = 25
@@ -39,6 +42,8 @@ class Filters:
         for name, values in (("naics", self.naics), ("set_aside", self.set_asides), ("type", self.types)):
             if values:
                 parts.append(F.col(name).isin(*values))
+        if self.department:
+            parts.append(F.lower(agency(F.col("path"))).contains(self.department.lower()))
         if self.posted_from:
             parts.append(F.col("posted") >= F.lit(self.posted_from))
         if self.posted_to:
@@ -46,6 +51,13 @@ class Filters:
         return reduce(and_, parts, F.lit(True))
 
 
+    def parameters(self) -> dict[str, str]:
+        """What a service is asked for: values that are absent are left out, dates are MM/dd/yyyy, several values are joined by commas."""
+        named = {"postedFrom": self.posted_from and self.posted_from.strftime("%m/%d/%Y"), "postedTo": self.posted_to and self.posted_to.strftime("%m/%d/%Y"), "title": self.keyword, "deptname": self.department}
+        several = {"ncode": self.naics, "typeOfSetAside": self.set_asides, "ptype": self.types}
+        return {"limit": str(self.limit), "offset": str(self.offset)} | {k: v for k, v in named.items() if v} | {k: ",".join(v) for k, v in several.items() if v}
+
+
 def page(notices: DataFrame, filters: Filters, order: list) -> DataFrame:
     """One page of the matching notices: a top-k, not a sort of them all."""
     return notices.where(filters.predicate()).orderBy(*order).offset(filters.offset).limit(filters.limit)

@@ -72,10 +72,10 @@ c AS (SELECT *, list_has_any(string_split(term, ' '), {_sql_list(HINTS)}) AS cap
 k AS (SELECT term, kind, df, tf, capability, f, CASE kind WHEN 0 THEN df * 4.0::double + tf * 0.4::double + CASE WHEN capability THEN 3.0 ELSE 0 END ELSE df * 3.0::double + tf * 0.3::double + CASE WHEN capability THEN 2.5 ELSE 0 END END AS score FROM c WHERE df >= 2 OR (capability AND tf >= 3))"""
 
 
-@query(_CANDIDATES + " SELECT term, kind::int AS kind, df::bigint AS df, tf::bigint AS tf, capability, round(score, 6) AS score FROM k ORDER BY round(score, 6) DESC, kind, f, term LIMIT 200")
+@query(_CANDIDATES + " SELECT term, kind::int AS kind, df::bigint AS df, tf::bigint AS tf, capability, round(score, 6) AS score FROM k")
 def query_candidates_ranked(spark, d):
     found = mining.query_candidates(table(spark, d, "documents"), "doc_id", "text", hints=HINTS, stopwords=STOP)
-    return found.orderBy(F.desc("score"), "kind", "first", "term").limit(200).drop("first")
+    return found.drop("first")
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import agency, currency
 from ..operators import pricing as P
 from ..registry import query
+from ..storage import stored
 from ..sources.tables import NOTICES_SQL, notices, table
 
 _SUMMARY = "count(*)::bigint AS total, count(x)::bigint AS priced, min(x) AS min_amount, max(x) AS max_amount, round(avg(x), 4) AS mean_amount, round(median(x), 4) AS median_amount"
@@ -19,7 +20,7 @@ def _rounded(df):
 @query(f"WITH {NOTICES_SQL} SELECT split_part(path, '.', 1) AS agency, {_SUMMARY} FROM (SELECT *, CASE WHEN type = 'a' THEN amount END AS x FROM notices) GROUP BY 1")
 def award_summary_by_agency(spark, d):
     awards = notices(spark, d).select(agency(F.col("path")).alias("agency"), F.when(F.col("type") == "a", F.col("amount")).alias("amount"))
-    return _rounded(P.price_summary(awards, ["agency"]))
+    return _rounded(P.price_summary(stored(awards, "awards"), ["agency"]))
 
 
 @query(f"SELECT {_SUMMARY} FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS x FROM orders)")

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("notices", "records", "pricing", "documents", "retrieval", "knowledge", "proposal", "state", "written", "gathered", "assembled"):
+    for name in ("notices", "records", "pricing", "documents", "retrieval", "knowledge", "proposal", "state", "written", "gathered", "assembled", "presented"):
         import_module(f"bidlens.queries.{name}")
 
 
