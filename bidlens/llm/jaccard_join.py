@@ -55,8 +55,9 @@ COUNTED = 1 << 23
 #: Names of sets that a task remembers; forgetting them costs copies, no result.
 KEPT_NAMES = 200_000
 _NO_ID = 1 << 63
-#: Columns of the bit matrix that are multiplied at once.
+#: Columns of the bit matrix that are multiplied at once, and cells of a matrix of common tokens.
 _BLOCK = 1 << 14
+_CELLS = 1 << 22
 
 
 class Order:
@@ -383,10 +384,10 @@ def _shared(tokens: np.ndarray, owner: np.ndarray, rows: np.ndarray, columns: np
     at, owner = number[inverse[keep]], owner[keep]
     out, n, size = np.zeros((len(rows), len(columns)), np.float32), int(many.sum()), int(max(rows.max(), columns.max())) + 1
     order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    for lo in range(0, n, _BLOCK):
-        own = slice(*np.searchsorted(at, [lo, lo + _BLOCK]))
-        full = np.zeros((size, min(_BLOCK, n - lo)), np.float32)
+    at, owner, step = at[order], owner[order], max(1, _CELLS // size)
+    for lo in range(0, n, step):
+        own = slice(*np.searchsorted(at, [lo, lo + step]))
+        full = np.zeros((size, min(step, n - lo)), np.float32)
         full[owner[own], at[own] - lo] = 1
         out += full[rows] @ full[columns].T
     return out.astype(np.int64)
