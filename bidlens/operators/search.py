@@ -85,19 +85,27 @@ def first_seen(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("_seen", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_seen = 1").drop("_seen")
 
 
-#: Values of the key in a bucket of numbered_by.
+#: Rows of a range of numbered_by, about.
 BUCKET = 50_000
 
 
 def numbered_by(df: DataFrame, group: str, key: str, out: str, bucket: int = BUCKET) -> DataFrame:
-    """df with `out`: 1, 2, ... within each group by a whole-number key that no two of its rows share. Ranges of the key are numbered by
-    themselves, and shifted by the rows of the ranges before, so that no task holds a whole group."""
-    df = df.withColumn("_bucket", F.floor(F.col(key) / bucket))
+    """df with `out`: 1, 2, ... within each group by a whole-number key that no two of its rows share. A group of more than `bucket` rows is
+    cut into ranges of the key that hold about as many rows each, however sparse the key is; ranges are numbered by themselves and
+    shifted by the rows of the ranges before, so that no task holds a whole group. df is read several times."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    ranges = -(-most // bucket)
+    large = sizes.where(F.col("_n") > bucket).select("_g")  # no more than rows / bucket
+    at = [i / ranges for i in range(1, ranges)] or [0.0]
+    cuts = df.join(large, F.col(group).eqNullSafe(F.col("_g")), "left_semi").groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(key, at, 100 * max(ranges, 1)).alias("_cuts"))
+    cut = df.join(cuts, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    cut = cut.withColumn("_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(key))), F.lit(0))).drop("_cuts")
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    counts = cut.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     shifts = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)))
-    joined = rows.join(shifts, rows[group].eqNullSafe(shifts["_g"]) & rows["_bucket"].eqNullSafe(shifts["_b"]))
+    rows = cut.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)))
+    joined = rows.join(shifts, rows[group].eqNullSafe(shifts["_g"]) & (rows["_bucket"] == shifts["_b"]))
     return joined.withColumn(out, (F.col("_shift") + F.col("_at")).cast("int")).drop("_bucket", "_at", "_g", "_b", "_shift")
 
 

@@ -53,6 +53,10 @@ def test_numbers_over_ranges(spark):
     rows = [(g, k) for g in ("a", "b", None) for k in (-7, -3, 0, 2, 3, 5, 6, 40, None)]
     got = {(r.g, r.k): r.n for r in numbered_by(spark.createDataFrame(rows, "g string, k long").repartition(3), "g", "k", "n", bucket=3).collect()}
     assert got == {(g, k): i for g in ("a", "b", None) for i, k in enumerate((None, -7, -3, 0, 2, 3, 5, 6, 40), 1)}
+    sparse = [("a", 2**40 * i + (i % 7) * 10**9) for i in range(400)] + [("b", -(2**50))]
+    df = spark.createDataFrame(sparse, "g string, k long").repartition(3)
+    got = numbered_by(df, "g", "k", "n", bucket=50)
+    assert {(r.g, r.k): r.n for r in got.collect()} == {x: i for g in "ab" for i, x in enumerate(sorted(y for y in sparse if y[0] == g), 1)}
     plan = QUERIES["citations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "_bucket" in plan
 
