@@ -168,4 +168,27 @@ p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PART
 n AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id)::int AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
       FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 SELECT * FROM n WHERE rank <= 3""",
+    "op3_line_dedup": """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM l),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+h AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (doc_id <> keeper)::bigint AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM k LEFT JOIN h USING (key) GROUP BY doc_id""",
+    "op4_substring_dedup": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
+g AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 19], ' ')) AS a, md5(array_to_string(w[i:i + 19], ' ')) AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) > 1 AS again FROM g),
+c AS (SELECT x.*, coalesce(max(CASE WHEN again THEN f.i END) OVER (PARTITION BY x.doc_id ORDER BY x.i) > x.i - 20, false) AS gone FROM x LEFT JOIN f USING (doc_id, i)),
+k AS (SELECT doc_id, count(*) FILTER (gone)::bigint AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE w AS ({_words("documents", "doc_id")}), d AS (SELECT doc_id, {_RUNS} AS s FROM (SELECT *, least(len(w), 4) AS m FROM w)),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, coalesce(len(s), 0)::bigint AS n_shingles, least(doc_id, (SELECT min(y) FROM r WHERE r.x = doc_id)) AS component_id FROM documents LEFT JOIN d USING (doc_id)""",
 }
