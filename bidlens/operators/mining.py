@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import query_tokens, word_tokens
+from ..storage import stored
 
 
 def terms(docs: DataFrame, id_col: str, tokens) -> DataFrame:
@@ -45,20 +46,28 @@ def query_candidates(docs: DataFrame, id_col: str, text_col: str, *, hints: list
     return kept.select("term", "kind", "df", "tf", "capability", F.round(score, 6).alias("score"), "first")
 
 
+#: Candidates that come to the driver at once.
+AT_ONCE = 64
+
+
 def chosen_queries(candidates: DataFrame, most: int = 6) -> list[Row]:
     """Candidates (term, kind, score) in order, without those whose words earlier ones already cover.
 
-    The candidates are sorted once and come to the driver as a stream, which ends at `most`: a partition at a time, and most
-    phrases add a word."""
+    The candidates are stored once. The first AT_ONCE that bring a word are taken and gone through, and those that still bring one are
+    asked for again until there are enough: what is covered stays covered, so none of those passed over can be chosen later."""
+    kept = stored(candidates.select("term", "kind", "score", "first"), "query_candidates")
     chosen: list[Row] = []
     covered: set[str] = set()
-    for r in candidates.orderBy(F.desc("score"), "kind", "first", "term").select("term", "kind", "score").toLocalIterator():
-        words = set(r.term.split())
-        if not words <= covered:
-            chosen.append(r)
-            covered |= words
-            if len(chosen) == most:
-                break
+    while len(chosen) < most:
+        new = kept.where(F.size(F.array_except(F.split("term", " "), F.array(*[F.lit(w) for w in sorted(covered)]))) > 0) if covered else kept
+        rows = new.orderBy(F.desc("score"), "kind", "first", "term").limit(AT_ONCE).select("term", "kind", "score").collect()
+        for r in rows:
+            words = set(r.term.split())
+            if len(chosen) < most and not words <= covered:
+                chosen.append(r)
+                covered |= words
+        if len(rows) < AT_ONCE:
+            break
     return chosen
 
 

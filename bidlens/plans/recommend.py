@@ -40,6 +40,7 @@ def recommended(notices: DataFrame, chunks: DataFrame, *, queries: list[str], fi
     found = candidates(notices, queries, firm_naics, top_k)
     text = F.concat_ws(" ", *[non_empty(F.col(c)) for c in ("title", "naics", "set_aside")], office(F.col("path")), agency(F.col("path")))
     found = stored(found.withColumn("text", text), "candidates")
+    chunks = stored(chunks.select("chunk_no", "doc_id", "text"), "chunks")
     near = E.nearest(backend.embed(found, "notice_no", "text"), backend.embed(chunks, "chunk_no", "text"), 3, dimension=backend.dimension)
     of = chunks.select(F.col("chunk_no").alias("c_no"), F.col("doc_id").alias("c_doc"))
     near = near.join(of, near["id"] == of["c_no"], "left")
