@@ -72,6 +72,14 @@ def outlines(spark, d):
     return P.outline(K.numbered_chunks(table(spark, d, "documents")))
 
 
-@query()
+def _last(*marks: str) -> str:
+    """Where the last of these marks begins in w, from 0."""
+    quoted = [m.replace("\n", "' || chr(10) || '") for m in marks]
+    return f"greatest({', '.join(f"CASE WHEN contains(w, '{m}') THEN length(w) - {len(k)} + 1 - strpos(reverse(w), reverse('{m}')) ELSE -1 END" for m, k in zip(quoted, marks))})"
+
+
+@query(f"""WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[^\\S\\n]+(\\n|$)', '\\1', 'g') AS t FROM documents), w AS (SELECT *, substr(t, 1, {P.EXEMPLAR_CHARS}) AS w FROM l),
+c AS (SELECT *, {_last(chr(10) * 2)} AS p, {_last(". ", "." + chr(10), chr(10))} AS s, {_last(" ")} AS b FROM w), k AS (SELECT *, CASE WHEN p >= {int(0.6 * P.EXEMPLAR_CHARS)} THEN p WHEN s >= {int(0.6 * P.EXEMPLAR_CHARS)} THEN s ELSE b END AS cut FROM c)
+SELECT doc_id, CASE WHEN length(t) <= {P.EXEMPLAR_CHARS} THEN t ELSE regexp_replace(substr(t, 1, CASE WHEN cut > 0 THEN cut ELSE {P.EXEMPLAR_CHARS} END), '\\s+$', '') || '…' END AS excerpt FROM k""")
 def exemplars(spark, d):
     return table(spark, d, "documents").select("doc_id", P.exemplar(F.col("text")).alias("excerpt"))
