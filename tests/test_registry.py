@@ -20,3 +20,12 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() or name in MAY_BE_EMPTY
+
+
+@pytest.mark.parametrize("module", ["bidlens.registry", "bidlens.queries.retrieval", "bidlens.queries.notices", "bidlens.queries.presented"])
+def test_any_module_can_be_imported_first(module):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", f"import {module}"], check=True, timeout=120, cwd=Path(__file__).parent.parent)
