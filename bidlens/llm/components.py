@@ -10,8 +10,8 @@ from .scratch import dropped, stored
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller one, or only edges to greater ones."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
-    up = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))
+    up = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
     return up.where("ups > 1 OR ups = 1 AND least = 0").isEmpty()
 
 

@@ -485,10 +485,10 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Exact counts of the prefix tokens, over groups: those of one group go, and so do groups left with fewer than they
     # must share. Of q tokens of which `least` must be shared, the first q - least + 1 hold one that is, in any order;
     # here the rarest first.
-    every = matrix.select("g", "least", F.explode("prefix").alias("token"))
+    every = matrix.select("g", "least", F.array_min("ns").alias("lo"), F.array_max("ns").alias("hi"), F.explode("prefix").alias("token"))
     counts = every.groupBy("token").agg(F.count("*").alias("m"), F.min("g").alias("hub")).where("m > 1")
-    own = every.join(counts, "token").groupBy("g", "least").agg(F.sort_array(F.collect_list(F.struct("m", "token", "hub"))).alias("q")).where(F.size("q") >= F.col("least"))
-    own = stored(own.select("g", "least", F.array_max("q.m").alias("most"), F.col("q.token").alias("q"), F.slice("q.hub", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int")).alias("hubs")), "jaccard_slots")
+    own = every.join(counts, "token").groupBy("g", "least", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("m", "token", "hub"))).alias("q")).where(F.size("q") >= F.col("least"))
+    own = stored(own.select("g", "least", "lo", "hi", F.array_max("q.m").alias("most"), F.col("q.token").alias("q"), F.slice("q.hub", F.lit(1), (F.size("q") - F.col("least") + 1).cast("int")).alias("hubs")), "jaccard_slots")
     slots = own.select("g", "most", F.explode(F.zip_with("hubs", F.slice("q", F.lit(1), F.size("hubs")), lambda hub, token: F.struct(token.alias("token"), hub.alias("hub")))).alias("s")).select("g", "most", "s.token", "s.hub")
 
     def joined(pairs: DataFrame) -> DataFrame:
@@ -510,32 +510,39 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = stored(slots.join(part, "g", "left").select("g", "most", "token", F.coalesce("component", "g").alias("component")), "jaccard_placed")
     held = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("g")).alias("a"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("b"))
     held = stored(held.where("lo <> hi").select("token", "m", "a", "b"), "jaccard_held")
-    brief = own.select("g", "least", "q").join(matrix.select("g", F.array_min("ns").alias("lo"), F.array_max("ns").alias("hi")), "g")
+    brief = own.select("g", "least", "q", "lo", "hi")
     alike = lambda x, y: (denominator * F.col(f"{x}hi") >= numerator * F.col(f"{y}lo")) & (denominator * F.col(f"{y}hi") >= numerator * F.col(f"{x}lo"))
 
-    light = placed.join(held.where(F.col("m") <= LIGHT).select("token"), "token").select("token", "g", "component", "most")
-    other = light.select("token", F.col("g").alias("h"), F.col("component").alias("h_component"), F.col("most").alias("h_most"))
-    met = light.join(other, "token").where("g < h AND component <> h_component").select("g", "h", F.col("h_most").alias("most")).distinct()
+    light = placed.join(held.where(F.col("m") <= LIGHT).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("g", "component", "most")).alias("held"))
+    others = lambda x: F.filter("held", lambda y: (x["g"] < y["g"]) & (x["component"] != y["component"]))
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(others(x), lambda y: F.struct(x["g"].alias("g"), y["g"].alias("h"), y["most"].alias("most")))))
+    met = light.select(F.explode(pairs).alias("p")).select("p.*").distinct()
     met = met.join(offers.select(F.col("h").alias("g"), F.col("g").alias("h")), ["g", "h"], "left_anti")
     both = met.join(brief, "g").join(brief.select(*[F.col(c).alias(f"h_{c}") for c in brief.columns]).withColumnRenamed("h_g", "h"), "h")
     near = both.where(alike("", "h_") & (F.size(F.array_intersect("q", "h_q")) >= F.least("least", "h_least"))).select("g", "h", "most")
 
+    near = stored(near, "jaccard_met")
+    links = links.unionByName(joined(near))
+    dropped(near)
+
     # A token that many groups hold deals them into blocks, and a task meets two blocks. Of tokens that the same groups
-    # hold one is enough.
-    heavy = held.where(F.col("m") > LIGHT).groupBy("m", "a", "b").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK_GROUPS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("block"), x).alias("i"), F.greatest(F.col("block"), x).alias("j")))
-    at = placed.join(heavy, "token").select("token", "blocks", "g", "component")
-    met = at.groupBy("g").agg(F.collect_list("token").alias("met"))
-    own_brief = brief.select("g", "least", "lo", "hi", F.transform("q", lambda t: (t % 32768).cast("short")).alias("short")).join(met, "g")
-    dealt = at.withColumn("block", block).withColumn("pair", F.explode(pair)).join(own_brief, "g")
-    dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "short", "met")
-    in_meetings = lambda df: df.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
-    crowd = stored(in_meetings(dealt).mapInArrow(met_groups(numerator, denominator), "token long, i int, j int, block int, g long, component long"), "jaccard_crowd")
-    more = in_meetings(crowd.join(matrix.select("g", "ns", "union", "held"), "g")).mapInArrow(opened_blocks(numerator, denominator), "x long, y long")
-    met = stored(near, "jaccard_met")
-    links = links.unionByName(joined(met)).unionByName(stored(more, "jaccard_links"))
-    dropped(offers, own, met, crowd)
+    # hold one is enough. Small inputs have no such token.
+    common = held.where(F.col("m") > LIGHT)
+    if not common.isEmpty():
+        heavy = common.groupBy("m", "a", "b").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK_GROUPS).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("block"), x).alias("i"), F.greatest(F.col("block"), x).alias("j")))
+        at = placed.join(heavy, "token").select("token", "blocks", "g", "component")
+        met = at.groupBy("g").agg(F.collect_list("token").alias("met"))
+        own_brief = brief.select("g", "least", "lo", "hi", F.transform("q", lambda t: (t % 32768).cast("short")).alias("short")).join(met, "g")
+        dealt = at.withColumn("block", block).withColumn("pair", F.explode(pair)).join(own_brief, "g")
+        dealt = dealt.select("token", "pair.i", "pair.j", "block", "g", "component", "least", "lo", "hi", "short", "met")
+        in_meetings = lambda df: df.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
+        crowd = stored(in_meetings(dealt).mapInArrow(met_groups(numerator, denominator), "token long, i int, j int, block int, g long, component long"), "jaccard_crowd")
+        more = in_meetings(crowd.join(matrix.select("g", "ns", "union", "held"), "g")).mapInArrow(opened_blocks(numerator, denominator), "x long, y long")
+        links = links.unionByName(stored(more, "jaccard_links"))
+        dropped(crowd)
+    dropped(offers, own)
 
     # Back to every document: its group, its set, and the rows that share its id.
     grouped = matrix.select("g", F.explode("ids").alias("first"))
@@ -546,8 +553,9 @@ def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = stored(rows, "jaccard_classes")
     dropped(first, matrix, placed, held)
     shared = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("hi")).where("x <> hi").select("id", "x")
-    more = stored(rows.join(shared, "id").select("x", F.col("component").alias("y")).where("x <> y").distinct(), "jaccard_shared_ids")
-    if not more.isEmpty():
+    shared = stored(shared, "jaccard_shared_ids")
+    if not shared.isEmpty():
+        more = rows.join(shared, "id").select("x", F.col("component").alias("y"))
         again = components(more, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("joined"))
         rows = rows.join(again, "component", "left").select("id", "n", F.coalesce("joined", "component").alias("component"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

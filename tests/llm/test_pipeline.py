@@ -84,3 +84,14 @@ def test_stages_on_odd_rows(spark):
 def test_run(spark):
     assert cp.run(spark, SF).count() > 100
     assert [n for n, _ in cp.STAGES] == ["language", "lines", "near_duplicates", "decontamination", "packing"]
+
+
+def test_near_duplicates_of_few_documents_in_few_jobs(spark):
+    """The driver takes memory for each stage and each table that is read, so a small input must not have many."""
+    docs = cp.stored(spark.read.parquet(f"{SF}/documents.parquet"), "few")
+    spark.sparkContext.setJobGroup("near", "near_duplicates")
+    try:
+        cp.stored(cp.near_duplicates(spark, docs, SF), "near")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) <= 65
