@@ -1,11 +1,13 @@
 """What must not grow faster than its input."""
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from bidlens.operators import embedding as E
 from bidlens.plans.recommend import recommended
+from bidlens.streaming import budget
 
 
 def test_notices_of_the_same_text_are_searched_for_once(spark, monkeypatch):
@@ -46,3 +48,20 @@ def test_blocks_of_many_short_queries(spark, monkeypatch):
         own = dict(map(tuple, row.v))
         best = sorted((-(round(sum(w * v.get(d, 0.0) for d, w in own.items()), 6) + 0.0), i) for i, v in vectors.items())[:3]
         assert [(i, s) for _, i, s in sorted(got[row.id])] == [(i, -s) for s, i in best]
+
+
+def test_a_budget_of_many_keys_has_few_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(budget, "AT_ONCE", 30)
+    r = random.Random(3)
+    rows = [(r.choice([None, *(f"k{i}" for i in range(700))]), i, datetime(2024, 1, r.randint(1, 2), 0, 0, r.randint(0, 59))) for i in range(4000)] + [(None, 4000 + i, datetime(2024, 1, 1)) for i in range(5)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "key string, request long, ts timestamp").repartition(5).write.parquet(source)
+    stream = spark.readStream.schema("key string, request long, ts timestamp").parquet(source)
+    q = budget.admitted(stream, 2).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want, n = {}, {}
+    for key, request, ts in sorted(rows, key=lambda x: (x[2], x[1])):
+        n[key, ts.day] = n.get((key, ts.day), 0) + 1
+        want[request] = (key, f"2024-01-0{ts.day}", n[key, ts.day] <= 2, min(n[key, ts.day], 2))
+    assert {x.request: (x.key, x.day, x.admitted, x.used) for x in spark.read.parquet(out).collect()} == want
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) < 700
