@@ -1,10 +1,12 @@
 """What must not grow faster than its input."""
 
 import random
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from bidlens.functions import text as T
 from bidlens.operators import embedding as E
 from bidlens.plans.recommend import recommended
 from bidlens.streaming import budget
@@ -65,3 +67,13 @@ def test_a_budget_of_many_keys_has_few_states(spark, tmp_path, monkeypatch):
         want[request] = (key, f"2024-01-0{ts.day}", n[key, ts.day] <= 2, min(n[key, ts.day], 2))
     assert {x.request: (x.key, x.day, x.admitted, x.used) for x in spark.read.parquet(out).collect()} == want
     assert 0 < max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) < 700
+
+
+def test_summaries_look_at_no_more_than_they_keep(spark):
+    """A paragraph of many sentences; the sentences were once found anew for each of them."""
+    para = "Offers are due. " * 1500
+    df = spark.range(2000).select(F.concat(F.lit("Head\n\n"), F.col("id").cast("string"), F.lit(". " + para)).alias("text")).localCheckpoint()
+    began = time.monotonic()
+    got = {r.s for r in df.select(T.summary(F.col("text")).alias("s")).collect()}
+    assert time.monotonic() - began < 20
+    assert len(got) == 2000 and "7. " + ("Offers are due. " * 17).strip() in got and max(map(len, got)) <= 280
