@@ -8,12 +8,12 @@ from ..functions import text as T
 from ..operators import embedding as E
 from ..operators import knowledge as K
 from ..registry import query
-from ..sources.tables import library, table
+from ..sources.tables import dealt, library, table
 from ..storage import scratch_path, stored
 
 
 def _library(spark, d):
-    return K.described(library(spark, d).select("doc_id", "name", "category", "text"))
+    return K.described(dealt(library(spark, d).select("doc_id", "name", "category", "text"), "doc_id"))
 
 
 @query()
