@@ -54,7 +54,7 @@ def library_recategorised(spark, d):
 @query()
 def rebuilt_texts(spark, d):
     """Documents cut into overlapping windows and put together again."""
-    windows = table(spark, d, "documents").select("doc_id", F.posexplode(T.char_windows(F.col("text"), 3600, 400)).alias("ordinal", "text"))
+    windows = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(T.char_windows(F.col("text"), 3600, 400)).alias("ordinal", "text"))
     return K.rebuilt(windows).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
