@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from bidlens.functions import text as T
 from bidlens.operators import embedding as E
+from bidlens.operators import knowledge as K
 from bidlens.plans.recommend import recommended
+from bidlens.registry import ORACLE_SQL, QUERIES
 from bidlens.streaming import budget
 
+from . import oracle
+
 
 def test_notices_of_the_same_text_are_searched_for_once(spark, monkeypatch):
     sent = []
@@ -77,3 +81,74 @@ def test_summaries_look_at_no_more_than_they_keep(spark):
     got = {r.s for r in df.select(T.summary(F.col("text")).alias("s")).collect()}
     assert time.monotonic() - began < 20
     assert len(got) == 2000 and "7. " + ("Offers are due. " * 17).strip() in got and max(map(len, got)) <= 280
+
+
+def _library(spark):
+    rows = [(i, f"d{i}.txt", "General", ("SCOPE\n\n" if i % 2 else "") + f"Generators of kind {i} are repaired. " * 20) for i in range(8)]
+    return K.described(spark.createDataFrame([*rows, (8, "h.txt", "General", "Only A Heading"), (9, "i.txt", "General", "")], "doc_id long, name string, category string, text string"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contextual_chunks_take_their_document_with_them(spark):
+    found = K.contextual_chunks(_library(spark), size=300, overlap=20)
+    assert "Join" not in _plan(found) and _plan(found).count("MapInArrow") == 1
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == set(range(8)) and all(r.name == f"d{r.doc_id}.txt" and r.embed_text.endswith(r.text) and r.summary in r.embed_text for r in rows)
+
+
+def test_rows_are_embedded_where_they_are(spark, tmp_path):
+    backend = E.Hashed(32)
+    index = K.embedded(K.contextual_chunks(_library(spark), size=300, overlap=20), backend)
+    assert "Join" not in _plan(index) and _plan(index).count("MapInArrow") == 2  # chunks and vectors, once each
+    K.saved(index, str(tmp_path / "index"))
+    again = K.loaded(spark, str(tmp_path / "index"), E.Hashed(64))
+    assert "Join" not in _plan(again) and again.columns == index.columns
+    want = {r.id: r.v for r in E.Hashed(64).embed(index, "chunk_no", "embed_text").collect()}
+    assert {r.chunk_no: r.v for r in again.collect()} == want and want
+
+
+def test_moved_chunks_are_made_once(spark):
+    backend, docs = E.Hashed(32), _library(spark)
+    index = K.embedded(K.contextual_chunks(docs, size=300, overlap=20), backend).localCheckpoint()
+    told, new = K.recategorised(docs, index, spark.createDataFrame([(3, "Best")], "doc_id long, category string"), backend)
+    assert _plan(new).count("MapInArrow") == 1
+    assert {(r.doc_id, " — Best" in r.embed_text) for r in new.collect()} == {(i, i == 3) for i in range(8)} and new.count() == index.count()
+
+
+def test_documents_without_prose_are_gone_through_once(spark):
+    docs = _library(spark)
+    index, todo = K.rechunked(docs, K.embedded(K.contextual_chunks(docs.limit(0)), E.Hashed(32)), E.Hashed(32))
+    assert {r.doc_id for r in index.collect()} == set(range(8)) and todo.count() == 10
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 2, "Another text.").otherwise(F.col("text")))
+    again, todo = K.rechunked(changed, index.localCheckpoint(), E.Hashed(32), known=K.fingerprints(docs))
+    assert [r.doc_id for r in todo.collect()] == [2] and {r.doc_id for r in again.collect()} == set(range(8))
+    _, todo = K.rechunked(docs, index.where("doc_id <> 1").localCheckpoint(), E.Hashed(32), known=K.fingerprints(docs.where("doc_id <> 1")))
+    assert [r.doc_id for r in todo.collect()] == [1]
+
+
+def test_headings_alone_count_as_kept(spark, tmp_path, monkeypatch):
+    texts = ["Some words of prose here.", "Only A Heading", "", "Two words more."]
+    spark.createDataFrame([(i, texts[i % 4], "en", "src1", 0) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(oracle, "TABLES", ["documents"])
+    assert oracle.compare(spark, "index_rechunked", QUERIES["index_rechunked"], ORACLE_SQL["index_rechunked"], str(tmp_path))
+
+
+def test_an_index_that_is_made_anew_is_not_read(spark):
+    docs = _library(spark)
+    old = K.embedded(K.contextual_chunks(docs.withColumn("text", F.raise_error(F.lit("read")))), E.Hashed(32))
+    assert K.rechunked(docs, old, E.Hashed(32))[0].count() >= 8
+
+
+def test_texts_are_rebuilt_in_the_time_of_their_length(spark):
+    r = random.Random(2)
+    text = "".join(r.choice("ab ") for _ in range(30_000))
+    rows = [(d, i, text[at : at + 3600]) for d in range(150) for i, at in enumerate(range(0, len(text), 3200))]
+    df = spark.createDataFrame([*rows, (200, 0, "x"), (200, 1, None), (200, 2, "y" * 30), (200, 3, "y" * 40)], "doc_id int, ordinal int, text string").repartition(4).localCheckpoint()
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in K.rebuilt(df).collect()}
+    assert time.monotonic() - began < 15
+    assert got.pop(200) == "x\n\n" + "y" * 30 + "\n\n" + "y" * 10 and len(got) == 150
+    assert set(got.values()) == {text[:3600] + "".join("\n\n" + text[at + 400 : at + 3600] for at in range(3200, len(text), 3200))}
