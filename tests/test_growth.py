@@ -1,16 +1,23 @@
 """What must not grow faster than its input."""
 
+import hashlib
+import math
 import random
+import re
 import time
+from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from bidlens.functions import text as T
+from bidlens.functions import vocabulary as V
 from bidlens.operators import embedding as E
 from bidlens.operators import knowledge as K
+from bidlens.operators import proposal as P
 from bidlens.plans.recommend import recommended
 from bidlens.registry import ORACLE_SQL, QUERIES
+from bidlens.storage import stored
 from bidlens.streaming import budget
 
 from . import oracle
@@ -152,3 +159,38 @@ def test_texts_are_rebuilt_in_the_time_of_their_length(spark):
     assert time.monotonic() - began < 15
     assert got.pop(200) == "x\n\n" + "y" * 30 + "\n\n" + "y" * 10 and len(got) == 150
     assert set(got.values()) == {text[:3600] + "".join("\n\n" + text[at + 400 : at + 3600] for at in range(3200, len(text), 3200))}
+
+
+def test_evidence_reads_tables_as_they_are(spark, monkeypatch):
+    """A solicitation is chunked and embedded once, and its written chunks are not stored again for a search."""
+    backend = E.Hashed(64)
+    files = spark.createDataFrame([(7, "sow.txt", "Offerors must repair generators. " * 9), (8, "none.txt", "")], "doc_id long, name string, text string")
+    index = P.solicitation_index(files, backend, size=100, overlap=10)
+    assert "Join" not in _plan(index) and _plan(index).count("MapInArrow") == 2
+    chunks, names, real = stored(index, "solicitation"), [], E.stored
+    monkeypatch.setattr(E, "stored", lambda df, name: names.append(name) or real(df, name))
+    asked = spark.createDataFrame([(0, "generators"), (1, "roads")], "no long, query string")
+    rows = P.searched(asked, chunks, 2, backend, written=True).collect()
+    assert "items" not in names and {r.q for r in rows} == {0, 1}
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, P.searched(asked, index, 2, backend).collect())) and "items" in names
+
+
+def test_white_space_of_ends(spark):
+    texts = ["", " \t\n\x0b\f\r\x85\xa0       　", *(f"{a}x y{a}" for a in " \xa0 　\n")]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.stripped(F.col("t")).alias("s")).collect()]
+    assert got == [t.strip() for t in texts]
+
+
+def test_vectors_like_word_by_word():
+    r = random.Random(4)
+    texts = ["", None, "the of", "K É1a2 İx ſet 12 a", *(" ".join(r.choice(["Pump", "pump", "Valve", "roads9", "x", "été"]) for _ in range(r.randint(1, 30))) for _ in range(50))]
+    got = E._vectors([t if t is None else t.encode() for t in texts], 5).to_pylist()
+    for text, v in zip(texts, got):
+        own = {}
+        for word, n in Counter(t.lower() for t in re.findall("[A-Za-z0-9]{2,}", text or "")).items():
+            if word not in V.EMBED_STOPWORDS:
+                h = hashlib.md5(word.encode()).digest()
+                own.setdefault(int.from_bytes(h[:4], "little") % 5, []).append((1.0 if h[4] % 2 else -1.0) * (1 + math.log(n)))
+        sums = {d: sum(sorted(w)) for d, w in own.items()}
+        norm = math.sqrt(sum(w * w for w in sums.values()))
+        assert {x["dim"]: round(x["w"], 12) for x in v} == {d: round(w / norm, 12) if norm else 0.0 for d, w in sums.items()}
